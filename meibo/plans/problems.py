@@ -107,7 +107,8 @@ _KEY = (
 )
 
 
-def _key(c: str) -> str:
+def key_sql(c: str) -> str:
+    """``id_key`` of a column as DuckDB SQL."""
     return _KEY.replace("@COLUMN@", c)
 
 
@@ -116,11 +117,11 @@ def _ref_sql(name: str, field: str, target: str, period: str) -> str:
       when not exists (select 1 from p_{target} p where p.k = r.k) then 'missing'
       when exists (select 1 from p_{target} p where p.k = r.k and p.loaded_at <= r.loaded_at and (p.deleted_at is null or p.deleted_at > r.loaded_at)) then null
       when exists (select 1 from p_{target} p where p.k = r.k and p.loaded_at <= r.loaded_at) then 'deleted' else 'late' end as status
-      from (select *, {_key(field)} as k from {name}) r where r.k is not null"""
+      from (select *, {key_sql(field)} as k from {name}) r where r.k is not null"""
 
 
-_P1 = f"""with p_organizations as (select distinct {_key('organization_id')} as k, loaded_at, deleted_at from organizations),
-p_locations as (select distinct {_key('location_id')} as k, loaded_at, deleted_at from locations),
+_P1 = f"""with p_organizations as (select distinct {key_sql('organization_id')} as k, loaded_at, deleted_at from organizations),
+p_locations as (select distinct {key_sql('location_id')} as k, loaded_at, deleted_at from locations),
 o as ({_ref_sql('person_career', 'organization_id', 'organizations', 'source_volume[1]')} union all
 {_ref_sql('person_family_education', 'organization_id', 'organizations', 'source_volume[1]')} union all
 {_ref_sql('person_career', 'location_id', 'locations', 'source_volume[1]')} union all
@@ -128,7 +129,7 @@ o as ({_ref_sql('person_career', 'organization_id', 'organizations', 'source_vol
 """
 
 _USABLE = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
-_LOCS = f"l as (select distinct {_key('location_id')} as k, latitude, longitude, province from locations where {_USABLE})"
+_LOCS = f"l as (select distinct {key_sql('location_id')} as k, latitude, longitude, province from locations where {_USABLE})"
 _NEAR = f"""select distinct a.k as key_a, b.k as key_b from l a join l b on a.k < b.k and abs(a.latitude - b.latitude) < 0.02
 where 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.latitude - a.latitude) / 2), 2)
  + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) <= {NEAR_KM}"""
