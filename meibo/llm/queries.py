@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from meibo.functions.keys import id_key
 from meibo.llm.groups import consolidate, name_groups
+from meibo.llm.mapping import map_values
 from meibo.llm.mixing import mix, share_report
+from meibo.llm.names import name_links
 from meibo.llm.packing import fill_report, pack
 from meibo.llm.residue import keep_clean, residue
 from meibo.llm.tokens import token_lengths
@@ -34,6 +36,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return named.select(F.col("member").alias("organization_id"), "group_id")
 
 
+def _typed_values(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "person_career").select(F.lit("job_title_en").alias("field_name"), F.col("job_title_en").alias("raw_value"))
+    hobbies = table(spark, d, "person_hobbies").select(F.lit("hobby").alias("field_name"), F.col("hobby").alias("raw_value"))
+    relations = table(spark, d, "person_family_members").select(F.lit("relation").alias("field_name"), F.col("relation").alias("raw_value"))
+    return jobs.unionByName(hobbies).unionByName(relations)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct typed value with the entry it stands for, 0 if none."""
+    return map_values(_typed_values(spark, d), table(spark, d, "canonical_terms"))
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that stand for no entry, with the number of rows that hold them."""
+    typed = _typed_values(spark, d)
+    none = map_values(typed, table(spark, d, "canonical_terms")).where("term_id = 0").select("field_name", "raw_value")
+    counts = typed.groupBy("field_name", "raw_value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return none.join(counts, ["field_name", "raw_value"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of ids of one organisation, and of rows of one relative of a person."""
+    orgs = table(spark, d, "organizations").withColumn("organization_id", id_key("organization_id"))
+    return name_links(orgs, table(spark, d, "person_family_members"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return materialize(token_lengths(table(spark, d, "documents"), keep=("source",)), "token-lengths")
 
@@ -77,7 +105,7 @@ _LINKS = f"""latest as (select least(x, y) as a, greatest(x, y) as b, arg_max(ll
 e as (select a as u, b as v from latest where ok union all select b, a from latest where ok)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
+    f.__name__: f for f in (p4_found, p6_found, p6_unmatched, p7_found, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
 }
 SQL: dict[str, str] = {
     "p4_found": f"""with recursive {_LINKS},
