@@ -12,6 +12,7 @@ from meibo.llm.groups import consolidate, name_groups
 from meibo.llm.mapping import map_values
 from meibo.llm.mixing import mix, share_report
 from meibo.llm.names import name_links
+from meibo.llm.ocr import noise_found, repaired
 from meibo.llm.packing import fill_report, pack
 from meibo.llm.residue import keep_clean, residue
 from meibo.llm.tokens import token_lengths
@@ -36,6 +37,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return named.select(F.col("member").alias("organization_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Which field of which segment holds which kind of noise."""
+    return noise_found(table(spark, d, "segmented_output"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired continuous text of every body text and text content."""
+    return repaired(table(spark, d, "segmented_output"))
+
+
 def _typed_values(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "person_career").select(F.lit("job_title_en").alias("field_name"), F.col("job_title_en").alias("raw_value"))
     hobbies = table(spark, d, "person_hobbies").select(F.lit("hobby").alias("field_name"), F.col("hobby").alias("raw_value"))
@@ -105,7 +116,7 @@ _LINKS = f"""latest as (select least(x, y) as a, greatest(x, y) as b, arg_max(ll
 e as (select a as u, b as v from latest where ok union all select b, a from latest where ok)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p6_found, p6_unmatched, p7_found, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
+    f.__name__: f for f in (p4_found, p5_found, p5_repaired, p6_found, p6_unmatched, p7_found, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
 }
 SQL: dict[str, str] = {
     "p4_found": f"""with recursive {_LINKS},
