@@ -48,8 +48,8 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 def large_components(parts: DataFrame, share: float = 0.05) -> DataFrame:
     """(component, size): components of at least ``share`` of the largest."""
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.agg(F.max("size").alias("_top"))
-    return sizes.join(F.broadcast(top)).where(F.col("size") >= F.col("_top") * share).drop("_top")
+    top = sizes.agg(F.max("size")).first()[0] or 0
+    return sizes.where(F.col("size") >= top * share)
 
 
 def centralities(edges: DataFrame, most: int = MAX_NODES) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def share_of_total(df: DataFrame, n: str) -> DataFrame:
-    """``share``: each row's part of the sum; the sum is one aggregate joined back."""
-    total = df.agg(F.sum(n).alias("_t"))
-    return df.join(F.broadcast(total)).withColumn("share", F.try_divide(F.col(n), F.col("_t"))).drop("_t")
+    """``share``: each row's part of the sum, which is one number taken beforehand."""
+    total = df.agg(F.sum(n)).first()[0]
+    return df.withColumn("share", F.try_divide(F.col(n), F.lit(total)))
 
 
 def zero_filled(subjects: DataFrame, events: DataFrame, key: str) -> DataFrame:
@@ -106,13 +106,12 @@ def confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
 def cohens_kappa(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """(n, observed, expected, kappa): agreement beyond chance."""
     m = confusion(df, gold, pred)
-    n = m.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("same"))
+    n = m.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)), F.lit(0)).alias("same"))
     g = m.groupBy(F.col("gold").alias("k")).agg(F.sum("n").alias("ng"))
     p = m.groupBy(F.col("pred").alias("k")).agg(F.sum("n").alias("np"))
-    e = g.join(p, "k").agg(F.sum(F.col("ng") * F.col("np")).alias("s"))
-    both = n.join(F.broadcast(e))
-    o, x = F.try_divide("same", "n"), F.try_divide(F.coalesce("s", F.lit(0)), F.col("n") * F.col("n"))
-    return both.select("n", o.alias("observed"), x.alias("expected"), F.try_divide(o - x, 1 - x).alias("kappa"))
+    chance = g.join(p, "k").agg(F.sum(F.col("ng") * F.col("np"))).first()[0] or 0
+    o, x = F.try_divide("same", "n"), F.try_divide(F.lit(chance), F.col("n") * F.col("n"))
+    return n.select("n", o.alias("observed"), x.alias("expected"), F.try_divide(o - x, 1 - x).alias("kappa"))
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
