@@ -89,7 +89,7 @@ def balanced_sample(df: DataFrame, cls: str, key: str, per: int, seed: str = "42
 def binary_scores(df: DataFrame, gold: Column, pred: Column) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1, accuracy of two Boolean columns."""
     c = df.select(gold.alias("g"), pred.alias("p")).where("g is not null and p is not null").agg(
-        F.count_if("g and p").alias("tp"), F.count_if("not g and p").alias("fp"), F.count_if("g and not p").alias("fn"), F.count_if("not g and not p").alias("tn"),
+        F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("not g and p")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"), F.count_if(F.expr("not g and not p")).alias("tn"),
     )
     p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.withColumns({"precision": p, "recall": r}).withColumns({
@@ -116,7 +116,7 @@ def cohens_kappa(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """(only_a, only_b, chi2): discordant pairs with continuity correction."""
-    c = df.select(a.alias("a"), b.alias("b")).agg(F.count_if("a and not b").alias("only_a"), F.count_if("b and not a").alias("only_b"))
+    c = df.select(a.alias("a"), b.alias("b")).agg(F.count_if(F.expr("a and not b")).alias("only_a"), F.count_if(F.expr("b and not a")).alias("only_b"))
     d = F.abs(F.col("only_a") - F.col("only_b")) - 1
     return c.withColumn("chi2", F.try_divide((d * d).cast("double"), F.col("only_a") + F.col("only_b")))
 

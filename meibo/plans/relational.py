@@ -130,14 +130,10 @@ def remap_ids(spark: SparkSession, d: str) -> DataFrame:
     return R.remap(c, "organization_id", m).groupBy("organization_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _chain(spark: SparkSession, d: str) -> DataFrame:
-    """Each document id points to a smaller one: chains of some length."""
-    return table(spark, d, "documents").where("doc_id > 1").select(F.col("doc_id").alias("old_id"), F.expr("case when doc_id % 7 = 0 then doc_id - 7 when doc_id % 7 = 1 then null else doc_id - 1 end").alias("new_id")).where("new_id > 0")
-
-
 def remap_closure(spark: SparkSession, d: str) -> DataFrame:
-    """A remap followed to its ends."""
-    return R.close_remap(_chain(spark, d))
+    """Every organisation's topmost parent: the parent links as a remap, followed to its ends."""
+    o = table(spark, d, "organizations").select(id_key("organization_id").alias("old_id"), id_key("parent_organization_id").alias("new_id")).where("old_id is not null")
+    return R.close_remap(o.groupBy("old_id").agg(F.max("new_id").alias("new_id")))
 
 
 def parent_depth(spark: SparkSession, d: str) -> DataFrame:
@@ -244,8 +240,9 @@ def audit_year_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Audit of contradicting spouse relations, the person's sex taken from the relatives' own."""
-    m = table(spark, d, "person_family_members").withColumn("subject", F.when(F.pmod(F.length("person_id"), F.lit(2)) == 0, "m").otherwise("f"))
+    """Audit of contradicting spouse relations; a subject with a career of their own is taken for a man here."""
+    working = table(spark, d, "person_career").select("person_id", F.lit("m").alias("subject")).distinct()
+    m = table(spark, d, "person_family_members").join(working, "person_id", "left").withColumn("subject", F.coalesce("subject", F.lit("f")))
     bad = Q.spouse_conflicts(m, "person_id", "relation", "subject").where("conflict")
     return Q.audit_rows(bad, "member_id", "null_spouse", "relation", F.col("relation"), F.lit(None).cast("string"), "wife and husband")
 
@@ -317,7 +314,7 @@ select place, arg_max(geonameid, (length(name), -geonameid)) as geonameid from p
     "point_in_polygon": f"""with l as (select distinct location_id, latitude, longitude from locations where {_USABLE}), r as (select region_id, unnest(rings) as ring from provinces), v as (select region_id, ring, len(ring) as m, unnest(range(1, len(ring) + 1)) as i from r), e as (select region_id, ring[i].lon as x1, ring[i].lat as y1, ring[i % m + 1].lon as x2, ring[i % m + 1].lat as y2 from v)
 select location_id, min(region_id) as region_id from (select l.location_id, e.region_id, count(*) as n from l join e on (e.y1 > l.latitude) <> (e.y2 > l.latitude) and l.longitude < (e.x2 - e.x1) * (l.latitude - e.y1) / (e.y2 - e.y1) + e.x1 group by all) where n % 2 = 1 group by location_id""",
     "remap_ids": f"with o as (select distinct {key_sql('organization_id')} as id, name from organizations), m as (select id, min(id) over (partition by name) as new_id from o), c as (select {key_sql('organization_id')} as id from person_career) select coalesce(m.new_id, c.id) as organization_id, count(*) as n from c left join (select id, min(new_id) as new_id from m group by id) m using (id) where c.id is not null group by 1",
-    "remap_closure": "with recursive m as (select * from (select doc_id as old_id, case when doc_id % 7 = 0 then doc_id - 7 when doc_id % 7 = 1 then null else doc_id - 1 end as new_id from documents where doc_id > 1) where new_id > 0), w(old_id, new_id, d) as (select old_id, new_id, 0 from m union all select w.old_id, m.new_id, d + 1 from w join m on m.old_id = w.new_id) select old_id, arg_max(new_id, d) as new_id from w group by old_id",
+    "remap_closure": f"with recursive m as (select * from (select {key_sql('organization_id')} as old_id, max({key_sql('parent_organization_id')}) as new_id from organizations group by 1) where old_id <> new_id), w(old_id, new_id, d) as (select old_id, new_id, 0 from m union all select w.old_id, m.new_id, d + 1 from w join m on m.old_id = w.new_id where d < 64) select old_id, arg_max(new_id, d) as new_id from w group by old_id",
     "parent_depth": f"with recursive o as (select {key_sql('organization_id')} as id, max({key_sql('parent_organization_id')}) as parent from organizations group by 1), w(id, up, d) as (select id, parent, case when parent is null then 0 else 1 end from o where id is not null union all select w.id, o.parent, d + 1 from w join o on o.id = w.up where o.parent is not null and d < 64) select id as organization_id, max(d) as depth from w group by id",
     "semi_anti_resume": "select c_mktsegment, count(*) as n, case when exists (select 1 from orders where o_custkey = c_custkey) then 'done' else 'todo' end as state from customer group by all",
     "header_in_row": "select a.segment_id, min(b.segment_id) as range_id from segmented_output a join segmented_output b using (volume, source_page) where a.bbox_header is not null and b.segment_x_range is not null and (a.bbox_header[1] + a.bbox_header[3]) / 2 between b.segment_x_range[1] and b.segment_x_range[2] group by a.segment_id",
@@ -333,7 +330,7 @@ select location_id, min(region_id) as region_id from (select l.location_id, e.re
     "first_seen_ids": "select place_name, 'L' || row_number() over (order by f, place_name) as id from (select place_name, min(row_id) as f from person_career where place_name is not null group by 1)",
     "suffix_merge": f"with r as (select organization_id as id, translate(name, '{_FOLDS[0]}', '{_FOLDS[1]}') as norm from {_ORGS}), b as (select id, case when regexp_matches(norm, '.株式會社$') then left(norm, -4) when regexp_matches(norm, '.株式会社$') then left(norm, -4) when regexp_matches(norm, '.株式$') then left(norm, -2) when regexp_matches(norm, '.株$') then left(norm, -1) end as base from r) select b.id as old_id, min(h.new_id) as new_id from b join (select norm, min(id) as new_id from r group by norm) h on h.norm = b.base where b.id <> h.new_id group by b.id",
     "audit_year_rules": "select cast(row_id as varchar) as subject_id, 'null_future_career_year' as change_type, 'start_year' as field, cast(start_year as varchar) as old_value, cast(null as varchar) as new_value, 'year after publication' as reason from person_career where start_year > list_max(list_transform(source_volume, lambda v: case v when '1927' then 1927 when '1935' then 1935 when '1943A' then 1943 when '1943E' then 1943 end))",
-    "audit_conflict_pairs": "select cast(member_id as varchar) as subject_id, 'null_spouse' as change_type, 'relation' as field, relation as old_value, cast(null as varchar) as new_value, 'wife and husband' as reason from (select *, bool_or(relation = '妻') over (partition by person_id) and bool_or(relation = '夫') over (partition by person_id) as pair, case when length(person_id) % 2 = 0 then 'm' else 'f' end as subject from person_family_members) where pair and ((subject = 'm' and relation = '夫') or (subject = 'f' and relation = '妻'))",
+    "audit_conflict_pairs": "select cast(member_id as varchar) as subject_id, 'null_spouse' as change_type, 'relation' as field, relation as old_value, cast(null as varchar) as new_value, 'wife and husband' as reason from (select *, bool_or(relation = '妻') over (partition by person_id) and bool_or(relation = '夫') over (partition by person_id) as pair, case when person_id in (select person_id from person_career) then 'm' else 'f' end as subject from person_family_members) where pair and ((subject = 'm' and relation = '夫') or (subject = 'f' and relation = '妻'))",
     "null_stale_refs": "select case when h.location_id is null then o.location_id end as location_id, count(*) as n from (select distinct organization_id, location_id from organizations) o left join (select distinct location_id from locations where latitude is null and province is null) h using (location_id) group by 1",
     "org_location_mode": f"""with c as (select {key_sql('organization_id')} as org, {key_sql('location_id')} as loc, row_id from person_career), l as (select distinct {key_sql('location_id')} as loc, latitude, longitude from locations where {_USABLE}),
 p as (select distinct org, latitude, longitude from c join l using (loc) where org is not null), s as (select a.org, max({_HAV}) as spread_km from p a join p b using (org) group by a.org),
