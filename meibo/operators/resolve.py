@@ -97,7 +97,12 @@ def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90,
     least = min(_jaccard_bound(need, r / 100) for r in range(34, 101))
     met = similar_sets(sets, None, max(least, 0.05))
     a, b = F.least(F.length("id_l"), F.length("id_r")), F.greatest(F.length("id_l"), F.length("id_r"))
-    met = met.where(jaro_winkler_bound(a, b) >= threshold - 1e-9)
+    # common characters and the common beginning bound the score from above without any Python
+    common = F.col("jaccard") * (a + b) / (1 + F.col("jaccard"))
+    most = (common / a + common / b + 1) / 3
+    same = lambda n: (F.substring("id_l", 1, n) == F.substring("id_r", 1, n)) & (a >= n)
+    start = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).when(same(1), 1).otherwise(0)
+    met = met.where((jaro_winkler_bound(a, b) >= threshold - 1e-9) & (most + start * 0.1 * (1 - most) >= threshold - 1e-9))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
