@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meibo.functions.text import fold, is_kana, osa_distance, to_hiragana
-from meibo.llm.setsim import qgrams, similar_sets
+from meibo.operators.setsim import qgrams, similar_sets
 
 THRESHOLD = 0.3
 LATIN, KANA, KANJI = "latin", "kana", "kanji"
