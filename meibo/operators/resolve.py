@@ -85,24 +85,24 @@ def greedy_clusters(df: DataFrame, key: str, id_col: str, order: str, year: str,
 def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90, floor: bool = False, boost_above: float = 0.0) -> DataFrame:
     """(name_a, name_b, similarity): different names of Jaro-Winkler similarity of at least ``threshold``, each pair once.
 
-    Jaro-Winkler of t or more needs a Jaro similarity of (t - 0.4) / 0.6, hence common characters m with
-    m/|a| + m/|b| >= 3 j - 1; as a set of numbered characters that is a Jaccard similarity, and a
-    prefix-filtered join finds all such pairs without comparing every two names.
+    A common beginning of p characters (four at most) lets a Jaro similarity of (t - p/10) / (1 - p/10) suffice, and
+    that needs common characters m with m/|a| + m/|b| >= 3 j - 1.  As sets of numbered characters this is a Jaccard
+    similarity of 3 j - 2 at least (all of the shorter name in the longer), so for each p a prefix-filtered join among names that begin alike finds all pairs without
+    comparing every two names.
     """
     names = df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("id")).distinct()
     chars = F.filter(F.split("id", ""), lambda c: c != "")
     numbered = F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: d == c)).cast("string")))
-    sets = names.withColumn("tokens", numbered)
-    need = 3 * (threshold - 0.4) / 0.6 - 1  # m/|a| + m/|b|
-    least = min(_jaccard_bound(need, r / 100) for r in range(34, 101))
-    met = similar_sets(sets, None, max(least, 0.05))
+    sets = materialize(names.withColumn("tokens", numbered), "names")
+    met = None
+    for p in range(5):
+        need = 3 * (threshold - p / 10) / (1 - p / 10) - 1
+        lead = F.concat(F.substring("id", 1, p), F.lit("|"))
+        begun = sets.where(F.length("id") >= p).withColumn("tokens", F.transform("tokens", _led(lead)))
+        found = similar_sets(begun, None, max(need - 1 - 1e-9, 0.05)).select("id_l", "id_r")
+        met = found if met is None else met.unionByName(found)
     a, b = F.least(F.length("id_l"), F.length("id_r")), F.greatest(F.length("id_l"), F.length("id_r"))
-    # common characters and the common beginning bound the score from above without any Python
-    common = F.col("jaccard") * (a + b) / (1 + F.col("jaccard"))
-    most = (common / a + common / b + 1) / 3
-    same = lambda n: (F.substring("id_l", 1, n) == F.substring("id_r", 1, n)) & (a >= n)
-    start = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).when(same(1), 1).otherwise(0)
-    met = met.where((jaro_winkler_bound(a, b) >= threshold - 1e-9) & (most + start * 0.1 * (1 - most) >= threshold - 1e-9))
+    met = met.distinct().where(jaro_winkler_bound(a, b) >= threshold - 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -112,12 +112,9 @@ def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90,
     return met.mapInPandas(score, "id_l string, id_r string, similarity double").select(F.col("id_l").alias("name_a"), F.col("id_r").alias("name_b"), F.bround("similarity", 3).alias("similarity"))
 
 
-def _jaccard_bound(need: float, r: float) -> float:
-    """The least Jaccard similarity of two multisets, sizes in proportion r, whose overlap m has m/a + m/b >= need."""
-    m = need * r / (1 + r)  # in units of the longer one
-    if m > r:
-        return 1.0
-    return m / (1 + r - m)
+def _led(lead: Column):  # noqa: ANN202
+    """A transform that puts ``lead`` before each token."""
+    return lambda x: F.concat(lead, x)
 
 
 def remap(df: DataFrame, column: str, mapping: DataFrame, old: str = "old_id", new: str = "new_id") -> DataFrame:
