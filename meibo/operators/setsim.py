@@ -21,9 +21,14 @@ def qgrams(text: Column, q: int = 2, mark: Column | None = None) -> Column:
     return F.transform(grams, lambda g: F.concat_ws("|", mark, g)) if mark is not None else grams
 
 
+def _hashed(tokens: str) -> Column:
+    """The distinct tokens as 64-bit digests: what is shuffled; the verification reads the tokens themselves."""
+    return F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))
+
+
 def _ordered(sets: DataFrame, key: str, tokens: str, ranks: DataFrame) -> DataFrame:
-    """(key, toks, n): each set's distinct tokens, rarest first."""
-    each = sets.select(key, F.explode(F.array_distinct(tokens)).alias("tok")).join(ranks, "tok")
+    """(key, toks, n): each set's distinct token digests, rarest first."""
+    each = sets.select(key, F.explode(_hashed(tokens)).alias("tok")).join(ranks, "tok")
     return each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s")).select(key, F.col("s.tok").alias("toks"), F.size("s").alias("n"))
 
 
@@ -50,13 +55,13 @@ def similar_sets(left: DataFrame, right: DataFrame | None, t: float, key: str =
     sets = left.select(key, tokens).where(F.size(tokens) > 0)
     other = sets if right is None else right.select(key, tokens).where(F.size(tokens) > 0)
     both = sets.select(tokens) if right is None else sets.select(tokens).unionByName(other.select(tokens))
-    ranks = both.select(F.explode(F.array_distinct(tokens)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    ranks = both.select(F.explode(_hashed(tokens)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     a = _ordered(sets, key, tokens, ranks)
     b = a if right is None else _ordered(other, key, tokens, ranks)
     pairs = _candidates(_prefix(a, key, t, "l"), _prefix(b, key, t, "r"), t)
     if right is None:
         pairs = pairs.where(F.col("id_l") < F.col("id_r"))
-    full = pairs.join(a.select(F.col(key).alias("id_l"), F.col("toks").alias("tl")), "id_l").join(b.select(F.col(key).alias("id_r"), F.col("toks").alias("tr")), "id_r")
+    full = pairs.join(sets.select(F.col(key).alias("id_l"), F.array_distinct(tokens).alias("tl")), "id_l").join(other.select(F.col(key).alias("id_r"), F.array_distinct(tokens).alias("tr")), "id_r")
     inter = F.size(F.array_intersect("tl", "tr"))
     jac = inter / (F.size("tl") + F.size("tr") - inter)
     return full.select("id_l", "id_r", jac.alias("jaccard")).where(F.col("jaccard") >= t - _EPS)
