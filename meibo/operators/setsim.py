@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meibo.session import materialize
+
 _EPS = 1e-9
 
 
@@ -56,8 +58,9 @@ def similar_sets(left: DataFrame, right: DataFrame | None, t: float, key: str =
     other = sets if right is None else right.select(key, tokens).where(F.size(tokens) > 0)
     both = sets.select(tokens) if right is None else sets.select(tokens).unionByName(other.select(tokens))
     ranks = both.select(F.explode(_hashed(tokens)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    a = _ordered(sets, key, tokens, ranks)
-    b = a if right is None else _ordered(other, key, tokens, ranks)
+    # read on both sides of the join: written once instead of planned and computed twice
+    a = materialize(_ordered(sets, key, tokens, ranks), "ordered-sets")
+    b = a if right is None else materialize(_ordered(other, key, tokens, ranks), "ordered-sets")
     pairs = _candidates(_prefix(a, key, t, "l"), _prefix(b, key, t, "r"), t)
     if right is None:
         pairs = pairs.where(F.col("id_l") < F.col("id_r"))
