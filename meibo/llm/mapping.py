@@ -30,7 +30,7 @@ ABBREVIATIONS = {
             "br=branch bldg=building bur=bureau capt=captain cdr=commander cmdr=commander comdr=commander chmn=chairman chm=chairman co=company coop=cooperative comm=commodity const=constable cnsl=counsel counc=council dept=department "
             "dep=deputy dir=director dr=doctor ed=editor eng=engineer engr=engineer exec=executive fact=factory fact'y=factory fwdr=forwarder gen=general genl=general gov=governor govr=governor hd=head insp=inspector "
             "jr=junior jnr=junior jun=junior lib=librarian lieut=lieutenant lt=lieutenant mbr=member mem=member mcht=merchant merch=merchant mgr=manager mng=managing mg=managing mngr=manager mktg=marketing msgr=messenger mess=messenger nav=naval "
-            "off=officer ofc=office offr=officer parl=parliament pharm=pharmacist phys=physician pref=prefectural pres=president prin=principal princ=principal prof=professor prop=proprietor pros=prosecutor pub=public rep=reporter reptr=reporter rptr=reporter "
+            "off=officer ofc=office ofcr=officer offr=officer parl=parliament pharm=pharmacist phys=physician pref=prefectural pres=president prin=principal princ=principal prof=professor prop=proprietor pros=prosecutor pub=public rep=reporter reptr=reporter rptr=reporter "
             "sch=school schl=school sec=secretary secy=secretary sect=section sen=senior snr=senior sr=senior stat=statutory stn=station supt=superintendent supdt=superintendent surv=surveyor tech=technician techn=technician tchr=teacher treas=treasurer vet=veterinarian vill=village v=vice"
         ).split()
     )
@@ -56,6 +56,11 @@ def _letters(s: str) -> str:
     return re.sub(r"[^a-z]", "", s)
 
 
+def _written_out(word: str) -> str:
+    """An abbreviation, also one in the plural, as its word; any other word as it is."""
+    return _letters(ABBREVIATIONS.get(word) or (ABBREVIATIONS.get(word[:-1]) if word.endswith("s") and len(word) > 2 else None) or word)
+
+
 def _latin_forms(text: str) -> list[str]:
     """Letter-only forms of an English value: as written, abbreviations written out, parts turned round."""
     t = text.strip().strip("\"'`“”‘’ .;:、。").strip()
@@ -72,7 +77,7 @@ def _latin_forms(text: str) -> list[str]:
         words = [w for w in re.split(r"[\s_\-./,]+", o.lower().replace("’", "'").replace("`", "'")) if w]
         fixed = [w.translate(_DIGIT) if re.search(r"[a-z]", w) else w for w in words]
         plain = "".join(_letters(w) for w in fixed)
-        full = "".join(_letters(ABBREVIATIONS.get(_letters(w), w)) for w in fixed)
+        full = "".join(_written_out(_letters(w)) for w in fixed)
         out += [full, plain]
         if any("1" in w for w in words):
             other = [w.replace("1", "l").translate(_DIGIT) if re.search(r"[a-z]", w) else w for w in words]
@@ -84,7 +89,7 @@ def _latin_forms(text: str) -> list[str]:
 def _hobby_forms(t: str) -> list[str]:
     t = re.sub(r"^趣味(?:は|ハ)", "", t)
     t = re.sub(r"[(（][^)）]*[)）]$", "", t) or t.strip("()（）")
-    t = re.sub(r"(?:初|[一二三四五六七八九十]+)(?:年|段|級)$", "", t)
+    t = re.sub(r"[初一二三四五六七八九十](?:年|段|級)$", "", t)
     t = t.strip("、。・()（）[]「」").removesuffix("等").removesuffix("など")
     out = [t]
     for n in range(len(t) - 1, 1, -1):
@@ -161,8 +166,8 @@ def _canonical_forms(terms: DataFrame, aliases: dict[str, str]) -> DataFrame:
 
 
 def edits_allowed(length: int) -> int:
-    """How many edits two English forms of this length may lie apart: a quarter, none up to three letters."""
-    return 0 if length <= 3 else max(1, length // 4)
+    """How many edits two English forms of this length may lie apart: none to three letters, then one, two from eight, three from fifteen."""
+    return (length > 3) + (length > 7) + (length > 14)
 
 
 def map_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, str] = ALIASES) -> DataFrame:

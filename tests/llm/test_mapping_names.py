@@ -9,8 +9,8 @@ TERMS = [
     ("relation", 21, "長男", "eldest son", "長男", "ちやうなん"), ("relation", 22, "弟", "younger brother", "弟", "おとうと"), ("relation", 23, "二女", "second daughter", "二女", "じぢよ"), ("relation", 24, "妻", "wife", "妻", "つま"),
 ]
 WANT = {
-    "job_title_en": {"section chief": 1, "Chief, Section": 1, "the SECTIONCHIEF (acting)": 1, "sect. chief, ret'd": 1, "sectin chief": 1, "eng1neer": 2, "ENGR.": 2, "Prosecutor / public": 3, "former bank gov'r in Kirisaka": 4, "juoge": 5, "jugde (1905)": 5, "comb stringer": 0, "see above": 0, "": 0, "   ": 0, "?": 0, "x" * 5000: 0},
-    "hobby": {"碁": 11, "囲碁（初段）": 11, "GO": 11, "いご": 11, "読　書": 12, "ﾄﾞｸｼｮ": 12, "reaading": 12, "讀書等": 12, "弓道": 13, "尺八吹奏 三年": 14, "趣味は音楽": 15, "蟲の音比べ": 0, "石集め": 0, "none": 0},
+    "job_title_en": {"section chief": 1, "Chief, Section": 1, "the SECTIONCHIEF (acting)": 1, "sect. chief, ret'd": 1, "sectin chief": 1, "eng1neer": 2, "ENGR.": 2, "Prosecutor / public": 3, "former bank gov'r in Kirisaka": 4, "juoge": 5, "jugde (1905)": 5, "comb stringer": 0, "Sect. Chiefs": 1, "fan restringer": 0, "see above": 0, "": 0, "   ": 0, "?": 0, "x" * 5000: 0},
+    "hobby": {"碁": 11, "囲碁（初段）": 11, "GO": 11, "いご": 11, "読　書": 12, "ﾄﾞｸｼｮ": 12, "reaading": 12, "讀書等": 12, "弓道": 13, "尺八吹奏 三年": 14, "尺八 二年": 14, "趣味は音楽": 15, "蟲の音比べ": 0, "石集め": 0, "none": 0},
     "relation": {"故長男": 21, "先代光彦の長男": 21, "ELDEST-SON": 21, "實弟": 22, "門弟": 0, "2女": 23, "第二女": 23, "second daghter": 23, "妻殿": 24, "[妻]": 24, "つま": 24, "友人": 0},
 }
 
