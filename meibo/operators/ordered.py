@@ -20,8 +20,10 @@ def path_numbers(path: Column) -> Column:
 
 
 def enumerate_rows(df: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (), name: str = "index", start: int = 0) -> DataFrame:
-    """Rows numbered from ``start`` in the given order within the given groups."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    """Rows numbered from ``start`` in the given order within the given groups, or over the whole table by ranges."""
+    if not within:
+        return number_rows(df, list(order), name, start)
+    w = Window.partitionBy(*within)
     return df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1 + start).cast("bigint"))
 
 
