@@ -51,7 +51,11 @@ LOOK_ALIKES = (
 )
 # Forms of strokes that stand for a part of a character.
 _STROKES = set("囗丅丄彡〓⊥⊤ⅲ□■◇#|_※＃＿｜〇")
+# Strokes in the place of a character of a name (read as=printed as), and kana that alone between kanji are one.
+_FORMS = tuple(tuple(p.split("=")) for p in "囗十=田 11|=川 郞_=郎 ⅲ=川 #=井 丅=下 丄=上 ⊥=上 囗=口".split())
+_LONE_KANA = dict(zip("ロホエニハカタトチミ", "口木工二八力夕卜千三"))
 MIN_CONTEXTS, MIN_SEEN, DOMINANCE = 3, 10, 8
+NAME_RATIO = 8
 COMMON_WORDS = 5_000
 BROADCAST_VOLUMES = 10_000
 
@@ -300,16 +304,25 @@ def _is_unspaced(text: str) -> bool:
 def corpus_counts(segments: DataFrame) -> DataFrame:
     """(what, key, n): words 'w', word pairs 'b' and five-character windows 'j' of all texts, marks taken out.
 
-    Joined parts of divided words enter as words of count 0, so that they are looked up too.
+    Joined parts of divided words enter as words of count 0, so that they are looked up too.  Entry headers count
+    apart, as words 'n' (with the names of running text) and windows 'h': what is common in names is not in prose.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            cols = [batch.column(k).to_pylist() for k in range(5)]
-            for headers, shift, page, *texts in zip(*cols):
+            cols = [batch.column(k).to_pylist() for k in range(6)]
+            for headers, shift, page, head, *texts in zip(*cols):
                 scan = page_of(page)
                 expect = scan - shift if scan is not None and shift is not None else None
+                if head and head.strip():
+                    name, _ = header_name(head, headers or [], expect)
+                    if _is_native(name):
+                        for win in name_windows(name):
+                            seen[("h", win)] += 1
+                    else:
+                        for w in name.split():
+                            seen[("n", _name_key(w))] += 1
                 for text in texts:
                     if not text:
                         continue
@@ -327,13 +340,14 @@ def corpus_counts(segments: DataFrame) -> DataFrame:
                                     seen[("b", p + " " + w.lower())] += 1
                             else:
                                 seen[("w", w.lower())] += 1
+                                seen[("n", w.lower())] += 1
                         for a, b in divided:
                             seen[("w", (a + b).lower())] += 0
                             seen[("w", (a + "-" + b).lower())] += 0
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["what", "key", "n"])
 
-    src = segments.select("headers", "page_shift", "source_page", "body_text", "text_content")
+    src = segments.select("headers", "page_shift", "source_page", "header_ocr", "body_text", "text_content")
     return src.mapInArrow(count, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
 
 
@@ -373,14 +387,15 @@ def deletes(w: str, most: int = 2) -> set[str]:
     return out
 
 
-def word_repairs(counts: DataFrame, ratio: int = 4) -> DataFrame:
+def word_repairs(counts: DataFrame, ratio: int = 4, what: str = "w") -> DataFrame:
     """(read, word): misread words and what they stand for, from the frequency lexicon.
 
     A word is a target if it is ``ratio`` times as frequent as the reading; candidates meet on shared deletes, are
     verified by the weighted edit distance (confusions only, up to three), and the nearest wins; of several as
-    near, the one that follows the reading's left neighbours most often, then the more frequent.
+    near, the one that follows the reading's left neighbours most often, then the more frequent.  Of names ('n') a
+    reading that no name can be (a digit or mark in it, no romaji) needs no ratio, as it is wrong in any case.
     """
-    words = counts.where("what = 'w'").select(F.col("key").alias("w"), "n").where(F.length("w").between(3, 40))
+    words = counts.where(F.col("what") == what).select(F.col("key").alias("w"), "n").where(F.length("w").between(3, 40))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -390,8 +405,15 @@ def word_repairs(counts: DataFrame, ratio: int = 4) -> DataFrame:
     index = words.repartition("w").mapInPandas(spread, "w string, n bigint, d string")
     index = materialize(index, "deletes")
     rare = index.select(F.col("w").alias("read"), F.col("n").alias("n_read"), "d")
-    often = index.where("n >= 4").select(F.col("w").alias("word"), F.col("n").alias("n_word"), "d")
-    met = rare.join(often, "d").where((F.col("n_word") >= F.greatest(F.col("n_read"), F.lit(1)) * ratio) & (F.col("read") != F.col("word"))).select("read", "n_read", "word", "n_word").distinct()
+    rarer = (F.col("n_word") >= 4) & (F.col("n_word") >= F.greatest(F.col("n_read"), F.lit(1)) * ratio)
+    if what == "n":
+        named = lambda c: F.regexp_replace(c, "[-']", "").rlike(f"(?i)^{_ROMAJI.pattern}$")
+        often = index.where(named("w"))
+        rarer |= ~named("read")
+    else:
+        often = index.where("n >= 4")
+    often = often.select(F.col("w").alias("word"), F.col("n").alias("n_word"), "d")
+    met = rare.join(often, "d").where(rarer & (F.col("read") != F.col("word"))).select("read", "n_read", "word", "n_word").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -432,15 +454,22 @@ def character_confusions(counts: DataFrame) -> DataFrame:
     return learned.unionByName(prior).distinct()
 
 
-def misread_windows(counts: DataFrame, confusions: DataFrame, odds: float = 50.0) -> DataFrame:
+def misread_windows(counts: DataFrame, confusions: DataFrame, odds: float = 50.0, what: str = "j") -> DataFrame:
     """(window, d): five-character windows whose middle is a misreading of ``d``.
 
     The windows' three trigrams are compared with those that ``d`` would make; the product of the ratios of
-    their counts must reach ``odds``, and no trigram may become rarer.
+    their counts must reach ``odds``, and no trigram may become rarer.  Of headers ('h') a middle that no name
+    holds may stand for any character seen between the same two, and the likeliest is taken.
     """
-    win = counts.where("what = 'j'").select(F.col("key").alias("window"), "n")
+    win = counts.where(F.col("what") == what).select(F.col("key").alias("window"), "n")
     tri = win.groupBy(F.substring("window", 2, 3).alias("t")).agg(F.sum("n").alias("tn"))
     cand = win.select("window", F.substring("window", 3, 1).alias("x")).join(confusions, "x")
+    odd = ~F.substring("window", 3, 1).rlike(_NAME_CHARACTER)
+    if what == "h":
+        between = lambda c, k: (F.substring(c, k, 1).alias("l"), F.substring(c, k + 2, 1).alias("r"))
+        seen = tri.select(*between("t", 1), F.substring("t", 2, 1).alias("d")).where(F.col("d").rlike(_NAME_CHARACTER))
+        strange = win.where(odd).select("window", F.substring("window", 3, 1).alias("x"), *between("window", 2))
+        cand = cand.select("window", "x", "d").unionByName(strange.join(seen, ["l", "r"]).select("window", "x", "d")).distinct()
     left, mid, right = F.substring("window", 1, 2), F.substring("window", 2, 1), F.substring("window", 4, 2)
     after = F.substring("window", 4, 1)
     each = cand.select(
@@ -454,17 +483,53 @@ def misread_windows(counts: DataFrame, confusions: DataFrame, odds: float = 50.0
     counted = each.join(tri.select(F.col("t").alias("tx"), F.col("tn").alias("nx")), "tx", "left").join(tri.select(F.col("t").alias("td"), F.col("tn").alias("nd")), "td", "left")
     ratio = (F.coalesce("nd", F.lit(0)) + 0.5) / (F.coalesce("nx", F.lit(0)) + 0.5)
     judged = counted.groupBy("window", "d").agg(F.sum(F.log(ratio)).alias("gain"), F.min(ratio).alias("worst"))
-    sure = judged.where((F.col("gain") >= F.log(F.lit(odds))) & (F.col("worst") >= 0.5))
+    sure = judged.where(((F.col("gain") >= F.log(F.lit(odds))) & (F.col("worst") >= 0.5)) | (odd if what == "h" else F.lit(False)))
     return sure.groupBy("window").agg(F.max_by("d", F.struct("gain", "d")).alias("d"))
 
 
-def header_kinds(name: str, headers: list[str], page: int | None) -> set[str]:
-    """Kinds of noise in the header of an entry, which is a person's name."""
+#: what a name in unspaced script is written with (kanji, kana and their marks), without forms of strokes
+_NAME_CHARACTER = r"^[㐀-鿿々ァ-ヶぁ-んー&&[^囗丅丄彡]]$"
+
+
+def _is_native(name: str) -> bool:
+    return bool(re.search(r"[㐀-鿿ぁ-ヶ]", name))
+
+
+def _name_key(w: str) -> str:
+    return w.rstrip(".,").lower()
+
+
+def _lone_kana(core: str) -> list[re.Match]:
+    """Single katakana of a name that stand for a kanji."""
+    return [] if re.search(r"[一-鿿][ヶケ][一-鿿]", core) else list(re.finditer(r"(?<![ァ-ヶー])[ァ-ヶ](?![ァ-ヶー])", core))
+
+
+def printed_forms(name: str) -> str:
+    """A name in unspaced script without spaces, forms of strokes set back to the characters they stand for."""
+    core = re.sub(r"[\s　・]", "", name)
+    for read, printed in _FORMS:
+        core = core.replace(read, printed)
+    for m in _lone_kana(core):
+        core = core[: m.start()] + _LONE_KANA.get(m.group(), m.group()) + core[m.end() :]
+    return core
+
+
+def name_windows(name: str) -> list[str]:
+    s = unspaced([printed_forms(name)])
+    return [s[i - 2 : i + 3] for i in range(2, len(s) - 2)]
+
+
+def header_name(name: str, headers: list[str], page: int | None) -> tuple[str, set[str]]:
+    """(name, kinds met): the header of an entry without page number and running header."""
     kinds = set()
     s = name.strip()
     if _is_header(head_key(s), headers):
-        return {HEADER}
+        kinds.add(HEADER)
+        return "", kinds
     rest = s
+    if headers and _resembles("".join(s.split()).upper(), headers):
+        cut, rest = _edge_header(s, headers)
+        kinds |= {HEADER} if cut else set()
     pats = [rf"^{_PAGE.pattern}", rf"{_PAGE.pattern}$"]
     for pat in pats:
         m = re.search(pat, rest)
@@ -478,13 +543,18 @@ def header_kinds(name: str, headers: list[str], page: int | None) -> set[str]:
             # a bare kanji number may run into the name: try a shorter one
             nxt = re.compile(pat).search(rest, m.start() + 1)
             m = nxt if nxt and nxt.start() > m.start() else None
+    return rest, kinds
+
+
+def header_kinds(name: str, headers: list[str], page: int | None) -> set[str]:
+    """Kinds of noise that the header of an entry, which is a person's name, shows by itself."""
+    rest, kinds = header_name(name, headers, page)
     if not rest:
         return kinds
-    if re.search(r"[㐀-鿿ぁ-ヶ]", rest):
+    if _is_native(rest):
         core = re.sub(r"[\s　・]", "", rest)
         odd = any((not _CJK.match(c) and c != "々" and not "ァ" <= c <= "ヶ" and not "ぁ" <= c <= "ん" and not c == "ー") or c in _STROKES for c in core)
-        lone = re.search(r"(?<![ァ-ヶー])[ァ-ヶ](?![ァ-ヶー])", core) and not re.search(r"[一-鿿][ヶケ][一-鿿]", core)
-        if odd or lone:
+        if odd or _lone_kana(core):
             kinds.add(CHAR)
     else:
         for w in rest.split():
@@ -493,6 +563,7 @@ def header_kinds(name: str, headers: list[str], page: int | None) -> set[str]:
     return kinds
 
 
+_PLAIN = re.compile("[㐀-鿿々ァ-ヶぁ-んー]")
 _HITS = "segment_id bigint, text_field string, what string, a string, b string"
 
 
@@ -509,6 +580,11 @@ def _read_fields(segments: DataFrame, skip: frozenset[str], middles: frozenset[s
                 heads = headers or []
                 if head and head.strip():
                     out |= {(sid, "header_ocr", "kind", k, None) for k in header_kinds(head, heads, expect)}
+                    name, _ = header_name(head, heads, expect)
+                    if _is_native(name):
+                        out |= {(sid, "header_ocr", "name window", win, None) for win in name_windows(name) if win[2] in middles or win[2] in _STROKES or not _PLAIN.match(win[2])}
+                    else:
+                        out |= {(sid, "header_ocr", "name", _name_key(w), None) for w in name.split()}
                 for field, text in (("body_text", body), ("text_content", content)):
                     if not text:
                         continue
@@ -560,6 +636,8 @@ class NoiseModel:
         self.repairs = materialize(word_repairs(self.counts), "word-repairs")
         confusions = materialize(character_confusions(self.counts), "confusions")
         self.windows = materialize(misread_windows(self.counts, confusions), "windows")
+        self.names = materialize(word_repairs(self.counts, NAME_RATIO, "n"), "name-repairs")
+        self.name_windows = materialize(misread_windows(self.counts, confusions, what="h"), "name-windows")
         # at most one row per character of the script
         self.middles = frozenset(r["x"] for r in confusions.select("x").distinct().collect())
         # the commonest words are never misreadings of others; leaving them out of the look-up only saves its cost
@@ -592,7 +670,9 @@ def noise_found(segments: DataFrame) -> DataFrame:
     words = hits.where("what = 'word'").join(model.repairs.select(F.col("read").alias("a")), "a", "left_semi")
     wins = hits.where("what = 'window'").join(model.windows.select(F.col("window").alias("a")), "a", "left_semi")
     parts = hits.where("what = 'divided'").join(divided_words(model).where("written = 'joined'").select("a", "b"), ["a", "b"], "left_semi")
-    for rows, kind in ((words, CHAR), (wins, CHAR), (parts, HYPHEN)):
+    names = hits.where("what = 'name'").join(model.names.select(F.col("read").alias("a")), "a", "left_semi")
+    name_wins = hits.where("what = 'name window'").join(model.name_windows.select(F.col("window").alias("a")), "a", "left_semi")
+    for rows, kind in ((words, CHAR), (wins, CHAR), (names, CHAR), (name_wins, CHAR), (parts, HYPHEN)):
         out = out.unionByName(rows.select("segment_id", "text_field", F.lit(kind).alias("noise_kind")))
     return out.distinct()
 

@@ -55,3 +55,16 @@ def test_empty_table(spark):
 def test_repairs_prefer_what_follows_the_same_word(spark):
     counts = spark.createDataFrame([("w", "form", 50), ("w", "farm", 50), ("w", "f0rm", 1), ("b", "the form", 50), ("b", "rice farm", 50), ("b", "the f0rm", 1)], "what string, key string, n long")
     assert {(r.read, r.word) for r in word_repairs(counts).collect()} == {("f0rm", "form")}
+
+
+def name_segments(spark, heads):
+    rows = [(k, "1927", "p0067", None, h, None) for k, h in enumerate(heads)]
+    return spark.createDataFrame(rows, "segment_id long, volume string, source_page string, body_text string, header_ocr string, text_content string")
+
+
+NAMES = ["Naoji Kirihama", "Tadao Kirihama", "土田竹平", "土田竹彦", "片井竹平"] * 20
+
+
+def test_misread_names_of_the_right_shape_are_found(spark):
+    df = name_segments(spark, [*NAMES, "Naoji Kirihania", "士田竹平", "片〓竹平"])
+    assert {(r.segment_id, r.text_field, r.noise_kind) for r in noise_found(df).collect()} == {(100, "header_ocr", "char"), (101, "header_ocr", "char"), (102, "header_ocr", "char")}
