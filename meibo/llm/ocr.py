@@ -711,8 +711,21 @@ def repair_text(text: str, headers: list[str], page: int | None, words: dict[str
     return " ".join(out)
 
 
+def repair_header(name: str, headers: list[str], page: int | None, words: dict[str, str], windows: dict[str, str]) -> str:
+    """The name in an entry's header: page number and running header out, misread words and characters replaced."""
+    rest, _ = header_name(name, headers, page)
+    if _is_native(rest):
+        return "".join(windows.get(win, win[2]) for win in name_windows(rest))
+    out = []
+    for w in rest.split():
+        key = _name_key(w)
+        fix = words.get(key)
+        out.append(w if fix is None else (fix.upper() if w.isupper() else "-".join(p.capitalize() for p in fix.split("-"))) + w[len(key) :])
+    return " ".join(out)
+
+
 def repaired(segments: DataFrame) -> DataFrame:
-    """(segment_id, text_field, repaired_text) of every non-null body text and text content.
+    """(segment_id, text_field, repaired_text) of every non-null body text, text content and entry header.
 
     The repairs a segment needs are joined to it, so no table of repairs is sent to every task.
     """
@@ -721,8 +734,10 @@ def repaired(segments: DataFrame) -> DataFrame:
     w = hits.where("what = 'word'").join(model.repairs.withColumnRenamed("read", "a"), "a").select("segment_id", F.lit("w").alias("t"), F.col("a").alias("x"), F.col("word").alias("y"))
     j = hits.where("what = 'window'").join(model.windows.withColumnRenamed("window", "a"), "a").select("segment_id", F.lit("j").alias("t"), F.col("a").alias("x"), F.col("d").alias("y"))
     h = hits.where("what = 'divided'").join(divided_words(model).where("written = 'hyphen'").select("a", "b"), ["a", "b"]).select("segment_id", F.lit("h").alias("t"), F.col("a").alias("x"), F.col("b").alias("y"))
-    fixes = w.unionByName(j).unionByName(h).groupBy("segment_id").agg(F.collect_set(F.struct("t", "x", "y")).alias("fixes"))
-    src = model.segments.join(fixes, "segment_id", "left").select("segment_id", "headers", "page_shift", "source_page", "body_text", "text_content", "fixes")
+    n = hits.where("what = 'name'").join(model.names.withColumnRenamed("read", "a"), "a").select("segment_id", F.lit("n").alias("t"), F.col("a").alias("x"), F.col("word").alias("y"))
+    nj = hits.where("what = 'name window'").join(model.name_windows.withColumnRenamed("window", "a"), "a").select("segment_id", F.lit("nj").alias("t"), F.col("a").alias("x"), F.col("d").alias("y"))
+    fixes = w.unionByName(j).unionByName(h).unionByName(n).unionByName(nj).groupBy("segment_id").agg(F.collect_set(F.struct("t", "x", "y")).alias("fixes"))
+    src = model.segments.join(fixes, "segment_id", "left").select("segment_id", "headers", "page_shift", "source_page", "body_text", "text_content", "header_ocr", "fixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -734,6 +749,10 @@ def repaired(segments: DataFrame) -> DataFrame:
                 words = {f["x"]: f["y"] for f in fixes if f["t"] == "w"}
                 windows = {f["x"]: f["y"] for f in fixes if f["t"] == "j"}
                 hyphened = {(f["x"], f["y"]) for f in fixes if f["t"] == "h"}
+                if r["header_ocr"] is not None:
+                    names = {f["x"]: f["y"] for f in fixes if f["t"] == "n"}
+                    name_wins = {f["x"]: f["y"] for f in fixes if f["t"] == "nj"}
+                    rows.append((r["segment_id"], "header_ocr", repair_header(r["header_ocr"], r["headers"] or [], page, names, name_wins)))
                 for field in ("body_text", "text_content"):
                     if r[field] is not None:
                         rows.append((r["segment_id"], field, repair_text(r[field], r["headers"] or [], page, words, windows, hyphened)))

@@ -43,7 +43,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
-    """The repaired continuous text of every body text and text content."""
+    """The repaired continuous text of every body text, text content and entry header."""
     return repaired(table(spark, d, "segmented_output"))
 
 

@@ -68,3 +68,11 @@ NAMES = ["Naoji Kirihama", "Tadao Kirihama", "土田竹平", "土田竹彦", "
 def test_misread_names_of_the_right_shape_are_found(spark):
     df = name_segments(spark, [*NAMES, "Naoji Kirihania", "士田竹平", "片〓竹平"])
     assert {(r.segment_id, r.text_field, r.noise_kind) for r in noise_found(df).collect()} == {(100, "header_ocr", "char"), (101, "header_ocr", "char"), (102, "header_ocr", "char")}
+
+
+def test_headers_are_repaired(spark):
+    heads = [*NAMES, "Naoji Kirihania", "士田竹平", "片〓竹平", "Tada0 Kirihama", "片#竹平", "土 田 竹平(58)", "Naoji Kirihama 58", " "]
+    df = name_segments(spark, heads)
+    got = {r.segment_id: r.repaired_text for r in repaired(df).collect() if r.text_field == "header_ocr"}
+    want = [*NAMES, "Naoji Kirihama", "土田竹平", "片井竹平", "Tadao Kirihama", "片井竹平", "土田竹平", "Naoji Kirihama 58", ""]
+    assert got == dict(enumerate(want))
