@@ -36,6 +36,7 @@ CONFUSIONS = tuple(
 _BY_FIRST: dict[str, list[tuple[str, str]]] = {}
 for _a, _b in CONFUSIONS:
     _BY_FIRST.setdefault(_a[0], []).append((_a, _b))
+_TRIPLES = tuple(a for a, _ in CONFUSIONS if len(a) > 2)
 _MARKS = "-‐‑–—=¬~\xad_"
 _KANJI_DIGIT = {c: k for k, c in enumerate("〇一二三四五六七八九")} | {"零": 0, "○": 0}
 _NUM = r"(?:[0-9０-９]{1,4}|[〇○零一二三四五六七八九]{1,4})"
@@ -391,7 +392,8 @@ def word_repairs(counts: DataFrame, ratio: int = 4, what: str = "w") -> DataFram
     """(read, word): misread words and what they stand for, from the frequency lexicon.
 
     A word is a target if it is ``ratio`` times as frequent as the reading; candidates meet on shared deletes, are
-    verified by the weighted edit distance (confusions only, up to three), and the nearest wins; of several as
+    verified by the weighted edit distance (confusions only, as many as two deletes, or three where a reading holds
+    a three-letter confusion, bring together), and the nearest wins; of several as
     near, the one that follows the reading's left neighbours most often, then the more frequent.  Of names ('n') a
     reading that no name can be (a digit or mark in it, no romaji) needs no ratio, as it is wrong in any case.
     """
@@ -399,7 +401,7 @@ def word_repairs(counts: DataFrame, ratio: int = 4, what: str = "w") -> DataFram
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, n, d) for w, n in zip(pdf["w"], pdf["n"]) for d in deletes(w, 2 if len(w) > 4 else 1) if len(d) >= 2]
+            rows = [(w, n, d) for w, n in zip(pdf["w"], pdf["n"]) for d in deletes(w, 3 if any(a in w for a in _TRIPLES) else 2) if d]
             yield pd.DataFrame(rows, columns=["w", "n", "d"])
 
     index = words.repartition("w").mapInPandas(spread, "w string, n bigint, d string")
@@ -419,7 +421,8 @@ def word_repairs(counts: DataFrame, ratio: int = 4, what: str = "w") -> DataFram
         for pdf in batches:
             got = [weighted_edits(a, b) for a, b in zip(pdf["read"], pdf["word"])]
             pdf = pdf.assign(cost=[g[0] for g in got])
-            yield pdf.loc[[g[1] for g in got]]
+            # two confusions make almost any short word of another: words of four letters or less have one
+            yield pdf.loc[[ok and (cost < 0.5 or min(len(a), len(b)) > 4) for (cost, ok), a, b in zip(got, pdf["read"], pdf["word"])]]
 
     near = met.mapInPandas(verify, "read string, n_read bigint, word string, n_word bigint, cost double")
     best = near.withColumn("least", F.min("cost").over(Window.partitionBy("read"))).where(F.col("cost") <= F.col("least") + 1e-9)

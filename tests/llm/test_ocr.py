@@ -76,3 +76,10 @@ def test_headers_are_repaired(spark):
     got = {r.segment_id: r.repaired_text for r in repaired(df).collect() if r.text_field == "header_ocr"}
     want = [*NAMES, "Naoji Kirihama", "土田竹平", "片井竹平", "Tadao Kirihama", "片井竹平", "土田竹平", "Naoji Kirihama 58", ""]
     assert got == dict(enumerate(want))
+
+
+def test_short_words_meet_over_two_letter_confusions(spark):
+    pairs = {"vvas": "was", "rnay": "may", "hirn": "him", "clid": "did", "farriily": "family", "iiiay": "may"}
+    rows = [("w", w, 50) for w in sorted({*pairs.values(), "all"})] + [("w", r, 1) for r in pairs] + [("w", "oil", 1)]
+    counts = spark.createDataFrame(rows, "what string, key string, n long")
+    assert {r.read: r.word for r in word_repairs(counts).collect()} == pairs
