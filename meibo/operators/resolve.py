@@ -93,14 +93,14 @@ def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90,
     names = df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("id")).distinct()
     chars = F.filter(F.split("id", ""), lambda c: c != "")
     numbered = F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: d == c)).cast("string")))
-    sets = materialize(names.withColumn("tokens", numbered), "names")
-    met = None
+    sets = names.withColumn("tokens", numbered)
+    begun = None
     for p in range(5):
         need = 3 * (threshold - p / 10) / (1 - p / 10) - 1
-        lead = F.concat(F.substring("id", 1, p), F.lit("|"))
-        begun = sets.where(F.length("id") >= p).withColumn("tokens", F.transform("tokens", _led(lead)))
-        found = similar_sets(begun, None, max(need - 1 - 1e-9, 0.05)).select("id_l", "id_r")
-        met = found if met is None else met.unionByName(found)
+        part = sets.where(F.length("id") >= p).select("id", "tokens", F.concat(F.lit(f"{p}|"), F.substring("id", 1, p)).alias("lead"), F.lit(max(need - 1 - 1e-9, 0.05)).alias("need"))
+        begun = part if begun is None else begun.unionByName(part)
+    # names of one beginning meet under the need of its length, all lengths in one join
+    met = similar_sets(begun.withColumn("key", F.struct("lead", "id")), None, "need", "key", mark="lead").select(F.col("id_l.id").alias("id_l"), F.col("id_r.id").alias("id_r"))
     a, b = F.least(F.length("id_l"), F.length("id_r")), F.greatest(F.length("id_l"), F.length("id_r"))
     met = met.distinct().where(jaro_winkler_bound(a, b) >= threshold - 1e-9)
 
@@ -112,11 +112,6 @@ def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90,
     return met.mapInPandas(score, "id_l string, id_r string, similarity double").select(F.col("id_l").alias("name_a"), F.col("id_r").alias("name_b"), F.bround("similarity", 3).alias("similarity"))
 
 
-def _led(lead: Column):  # noqa: ANN202
-    """A transform that puts ``lead`` before each token."""
-    return lambda x: F.concat(lead, x)
-
-
 def remap(df: DataFrame, column: str, mapping: DataFrame, old: str = "old_id", new: str = "new_id") -> DataFrame:
     """``column`` replaced through the mapping; ids without an entry stay.  A few hot ids are spread."""
     m = mapping.select(F.col(old).alias(column), F.col(new).alias("_new")).dropDuplicates([column])

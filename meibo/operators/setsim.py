@@ -1,13 +1,14 @@
-"""Prefix-filtered set-similarity join.
+"""Prefix-filtered set-similarity join, plain or weighted by rarity.
 
-Tokens are ordered by global rarity; two sets of Jaccard similarity t or more must share a token among
-the first |x| - ceil(t |x|) + 1 of each, so only those rare prefixes are joined.  Length and position
-filters drop most of what is left, and the Jaccard similarity is verified exactly.
+Tokens are ordered by global rarity.  Two sets of (weighted) Jaccard similarity t or more share at least
+the weight t W of each set of weight W, so the rarest token they share stands where what is left of each
+set still weighs t W: only those rare prefixes are joined.  Size and position filters drop most of what is
+left, and the similarity is verified exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meibo.session import materialize
@@ -23,48 +24,48 @@ def qgrams(text: Column, q: int = 2, mark: Column | None = None) -> Column:
     return F.transform(grams, lambda g: F.concat_ws("|", mark, g)) if mark is not None else grams
 
 
-def _hashed(tokens: str) -> Column:
-    """The distinct tokens as 64-bit digests: what is shuffled; the verification reads the tokens themselves."""
-    return F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))
+def _weighed(sets: DataFrame, ranks: DataFrame, weight: Column) -> DataFrame:
+    """(id, mark, t, tok, w, total, rest): the tokens of each set, and what weighs it from the token on, rarest first."""
+    own = Window.partitionBy("id")
+    each = sets.select("id", "mark", "t", F.explode("tokens").alias("tok")).join(ranks, "tok").withColumn("w", weight)
+    before = own.orderBy("df", "tok").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("id", "mark", "t", "tok", "w", F.sum("w").over(own).alias("total"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("past")).withColumn("rest", F.col("total") - F.col("past")).drop("past")
 
 
-def _ordered(sets: DataFrame, key: str, tokens: str, ranks: DataFrame) -> DataFrame:
-    """(key, toks, n): each set's distinct token digests, rarest first."""
-    each = sets.select(key, F.explode(_hashed(tokens)).alias("tok")).join(ranks, "tok")
-    return each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s")).select(key, F.col("s.tok").alias("toks"), F.size("s").alias("n"))
+def _side(weighed: DataFrame, side: str) -> DataFrame:
+    prefix = weighed.where(F.col("rest") >= F.col("t") * F.col("total") - _EPS)
+    return prefix.select("mark", "tok", F.col("t").alias(f"t_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("id", "total", "rest")])
 
 
-def _prefix(ordered: DataFrame, key: str, t: float, side: str) -> DataFrame:
-    length = (F.col("n") - F.ceil(F.col("n") * t - _EPS) + 1).cast("int")
-    return ordered.select(F.col(key).alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.posexplode(F.slice("toks", 1, length)).alias(f"pos_{side}", "tok"))
-
-
-def _candidates(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
-    joined = left.join(right, "tok")
-    least = F.ceil((F.col("n_l") + F.col("n_r")) * (t / (1 + t)) - _EPS)
-    room = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r"))
-    sized = (F.col("n_r") >= F.col("n_l") * t - _EPS) & (F.col("n_l") >= F.col("n_r") * t - _EPS)
-    # counted from the first shared token, what is left of the shorter rest bounds the overlap
-    return joined.where(sized).groupBy("id_l", "id_r").agg(F.max(F.when(room >= least, 1).otherwise(0)).alias("ok"), F.count(F.lit(1)).alias("shared")).where("ok = 1").select("id_l", "id_r")
-
-
-def similar_sets(left: DataFrame, right: DataFrame | None, t: float, key: str = "id", tokens: str = "tokens") -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame | None, t: float | str, key: str = "id", tokens: str = "tokens", mark: str | None = None, weighted: bool = False) -> DataFrame:
     """(id_l, id_r, jaccard) of all pairs of sets with Jaccard similarity of at least ``t``.
 
     With ``right`` None, the pairs within ``left``, each once with id_l < id_r.  Empty and null sets pair with
-    nothing.  Keys must be unique on each side.  No cap on partners or candidates.
+    nothing.  Keys must be unique on each side.  No cap on partners or candidates.  ``mark`` names a column of
+    which only equal values meet (null is a value); rarity is counted over all of them.  ``t`` may name a column that is one
+    for each mark.  ``weighted``: a token weighs log(1 + sets / sets that hold it), so rare ones count more.
     """
-    sets = left.select(key, tokens).where(F.size(tokens) > 0)
-    other = sets if right is None else right.select(key, tokens).where(F.size(tokens) > 0)
-    both = sets.select(tokens) if right is None else sets.select(tokens).unionByName(other.select(tokens))
-    ranks = both.select(F.explode(_hashed(tokens)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # read on both sides of the join: written once instead of planned and computed twice
-    a = materialize(_ordered(sets, key, tokens, ranks), "ordered-sets")
-    b = a if right is None else materialize(_ordered(other, key, tokens, ranks), "ordered-sets")
-    pairs = _candidates(_prefix(a, key, t, "l"), _prefix(b, key, t, "r"), t)
-    if right is None:
-        pairs = pairs.where(F.col("id_l") < F.col("id_r"))
-    full = pairs.join(sets.select(F.col(key).alias("id_l"), F.array_distinct(tokens).alias("tl")), "id_l").join(other.select(F.col(key).alias("id_r"), F.array_distinct(tokens).alias("tr")), "id_r")
-    inter = F.size(F.array_intersect("tl", "tr"))
-    jac = inter / (F.size("tl") + F.size("tr") - inter)
-    return full.select("id_l", "id_r", jac.alias("jaccard")).where(F.col("jaccard") >= t - _EPS)
+    one = lambda df: df.select(
+        F.col(key).alias("id"), F.coalesce(F.col(mark).cast("string"), F.lit("")).alias("mark") if mark else F.lit("").alias("mark"),
+        (F.col(t) if isinstance(t, str) else F.lit(float(t))).alias("t"), F.array_distinct(tokens).alias("tokens"),
+    ).where(F.size("tokens") > 0)
+    sets = one(left)
+    other = None if right is None else one(right)
+    both = sets if other is None else sets.unionByName(other)
+    ranks = both.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.log(F.lit(1.0) + F.lit(float(both.count())) / F.col("df")) if weighted else F.lit(1.0)
+    # read for the prefixes and for the verification: written once instead of planned and computed twice
+    a = materialize(_weighed(sets, ranks, weight), "weighed-sets")
+    b = a if other is None else materialize(_weighed(other, ranks, weight), "weighed-sets")
+    least = (F.col("total_l") + F.col("total_r")) * F.col("t_l") / (1 + F.col("t_l")) - _EPS
+    sized = (F.col("total_r") >= F.col("total_l") * F.col("t_l") - _EPS) & (F.col("total_l") >= F.col("total_r") * F.col("t_l") - _EPS)
+    # from the first token two sets share, the lighter rest bounds what they share
+    met = _side(a, "l").join(_side(b, "r").drop("t_r"), ["mark", "tok"]).where(sized & (F.least("rest_l", "rest_r") >= least))
+    if other is None:
+        met = met.where(F.col("id_l") < F.col("id_r"))
+    pairs = met.select("id_l", "id_r", "t_l").distinct()
+    whole = lambda df, side: df.groupBy("id").agg(F.collect_list(F.struct("tok", "w")).alias(f"set_{side}"), F.first("total").alias(f"total_{side}")).withColumnRenamed("id", f"id_{side}")
+    full = pairs.join(whole(a, "l"), "id_l").join(whole(b, "r"), "id_r")
+    shared = F.aggregate(F.array_intersect("set_l", "set_r"), F.lit(0.0), lambda s, x: s + x["w"])
+    jac = shared / (F.col("total_l") + F.col("total_r") - shared)
+    return full.select("id_l", "id_r", jac.alias("jaccard"), "t_l").where(F.col("jaccard") >= F.col("t_l") - _EPS).drop("t_l")

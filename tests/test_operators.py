@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -48,6 +49,20 @@ def test_similar_sets_against_brute_force(spark):
         assert got == {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if jac(sets[x], sets[y]) >= t - 1e-9}
 
 
+def test_weighted_similar_sets_against_brute_force(spark):
+    rnd = random.Random(5)
+    sets = {f"s{i}": (rnd.choice([None, "m", "n"]), sorted({f"t{min(rnd.randint(0, 12), rnd.randint(0, 12))}" for _ in range(rnd.randint(0, 8))})) for i in range(90)}
+    df = spark.createDataFrame([(k, m, s, "x") for k, (m, s) in sets.items()], "id string, m string, tokens array<string>, w string")
+    full = {k: (m or "", set(s)) for k, (m, s) in sets.items() if s}
+    df_of = lambda tok: sum(tok in s for _, s in full.values())
+    w = {tok: math.log(1 + len(full) / df_of(tok)) for _, s in full.values() for tok in s}
+    heavy = lambda s: sum(w[x] for x in s)
+    for t in (0.3, 0.7):
+        got = {(r.id_l, r.id_r) for r in similar_sets(df, None, t, mark="m", weighted=True).collect()}
+        assert got == {(x, y) for x, y in itertools.combinations(sorted(full), 2) if full[x][0] == full[y][0] and heavy(full[x][1] & full[y][1]) / heavy(full[x][1] | full[y][1]) >= t - 1e-9}
+    assert similar_sets(df.limit(0), df, 0.5, mark="m", weighted=True).count() == 0
+
+
 def test_closure_and_depth(spark):
     m = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("p", "q"), ("q", "p"), ("z", "z"), (None, "a")], "old_id string, new_id string")
     got = dict((r.old_id, r.new_id) for r in R.close_remap(m).collect())
