@@ -68,6 +68,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over as many tasks as a shuffle has, for a step that costs more than the size of its rows tells."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table written by ``materialize`` that nothing lazy refers to any more."""
     path = getattr(df, "_meibo_path", None)
