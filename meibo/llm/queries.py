@@ -11,7 +11,7 @@ from meibo.functions.keys import id_key
 from meibo.llm.groups import consolidate, name_groups
 from meibo.llm.mapping import map_values
 from meibo.llm.mixing import mix, share_report
-from meibo.llm.names import name_links
+from meibo.llm.names import name_groups as alike_names, name_links
 from meibo.llm.ocr import noise_found, repaired
 from meibo.llm.packing import fill_report, pack
 from meibo.llm.residue import keep_clean, residue
@@ -73,6 +73,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return name_links(orgs, table(spark, d, "person_family_members"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every named organisation and relative with its group and the number of spellings its own were found alike to."""
+    orgs = table(spark, d, "organizations").withColumn("organization_id", id_key("organization_id"))
+    return alike_names(orgs, table(spark, d, "person_family_members"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return materialize(token_lengths(table(spark, d, "documents"), keep=("source",)), "token-lengths")
 
@@ -116,7 +122,7 @@ _LINKS = f"""latest as (select least(x, y) as a, greatest(x, y) as b, arg_max(ll
 e as (select a as u, b as v from latest where ok union all select b, a from latest where ok)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p5_found, p5_repaired, p6_found, p6_unmatched, p7_found, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
+    f.__name__: f for f in (p4_found, p5_found, p5_repaired, p6_found, p6_unmatched, p7_found, p7_groups, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
 }
 SQL: dict[str, str] = {
     "p4_found": f"""with recursive {_LINKS},

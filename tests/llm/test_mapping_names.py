@@ -1,7 +1,7 @@
 import pytest
 
 from meibo.llm.mapping import map_values, value_forms
-from meibo.llm.names import english_core, given_name, is_short_for, japanese_core, name_links, organisation_groups, relative_groups, same_organisation
+from meibo.llm.names import SIMILAR, english_core, given_name, japanese_core, meeting_cores, name_groups, name_links, organisation_groups, relative_groups, soft_similarity, soft_words, surprise, turned_core
 
 TERMS = [
     ("job_title_en", 1, "section chief", "section chief", "課長", None), ("job_title_en", 2, "engineer", "engineer", "技師", None), ("job_title_en", 3, "public prosecutor", "public prosecutor", "檢事", None), ("job_title_en", 4, "bank governor", "bank governor", "頭取", None), ("job_title_en", 5, "judge", "judge", "判事", None),
@@ -31,24 +31,61 @@ def test_japanese_core(name, core):
     assert japanese_core(name) == core
 
 
-def test_english_core_and_kinds():
-    a = english_core("Trading, South Akane-todai Co., Ltd.")
-    assert a == english_core("SOUTH AKANETODAI TRADING K.K.") == english_core("South Akanetodai Tradnig Company Limited")
-    assert is_short_for("高女", "高等女学校") and is_short_for("糖", "製糖") and not is_short_for("製藥", "製糖")
-    assert same_organisation("南樫戸郵", "南樫戸郵便局") and not same_organisation("南樫戸原水産", "南樫戸本水産") and not same_organisation("南樫戸水産", "南樫戸製糖")
+def test_english_core():
+    assert english_core("Trading, South Akane-todai Co., Ltd.") == english_core("SOUTH AKANETODAI TRADING K.K.") == ("south akanetodai trading", "")
     assert given_name("故ノブ子（龜）") == ("native", [(0, "ノブ子"), (1, "ノブ")])
+    n = {"south": 400, "north": 400, "akanetodai": 2, "akanetdai": 1, "trading": 300, "tradnig": 1}
+    soft = lambda a, b: soft_words(a.split(), [n[x] for x in a.split()], b.split(), [n[x] for x in b.split()], 5000)
+    assert soft("south akanetodai trading", "south akanetdai trading") > 0.88 > soft("south akanetodai trading", "north akanetodai trading")
+    assert soft("akanetodai trading", "south akanetodai trading") < 0.88 and soft_words([], [], [], [], 10) == 1.0
+
+
+PLACES = "山田 三菱 大阪 中島 高森 白浜 富岡 清水 松本 石垣 長野 福井 古川 新橋 桜井 竹内 今村 小倉 野村 平塚".split()
+KINDS = "洋服店 銀行 造船 高等女学校 税務署 製糸 水産 呉服店 鉄道 人形座".split()
+
+
+def corpus(n: int = 150) -> list[tuple[str, str | None, str | None]]:
+    """Ids of several spellings: every place with every kind, as full, and some abbreviated or misread."""
+    rows = [(f"O{i}", p + k, None) for i, (p, k) in enumerate((p, k) for p in PLACES for k in KINDS)]
+    rows += [(f"O{1000 + i}", "株式會社" + p + k, None) for i, (p, k) in enumerate((p, k) for p in PLACES for k in KINDS)]
+    odd = ["山田洋服", "三菱造舩", "大坂銀行", "中島税", "白浜高女", "人形座・富岡", "石垣水産（株）", "(元)長野鉄道", "福井税務署支店", "福井税務署(株)支店", "山田呉服", "", "  ", None, "x" * 3000]
+    return rows + [(f"O{2000 + i}", name, None) for i, name in enumerate(odd)]
+
+
+def test_organisations_link_by_what_a_character_tells(spark):
+    df = spark.createDataFrame([(*r, "x") for r in corpus()], "organization_id string, name string, name_en string, core string")
+    names = {r[0]: r[1] for r in corpus()}
+    groups = {}
+    for r in organisation_groups(df).collect():
+        groups.setdefault(r["group"], set()).add(names[r.organization_id])
+    found = {n: g for g in groups.values() for n in g}
+    want = {"山田洋服": "山田洋服店", "三菱造舩": "三菱造船", "大坂銀行": "大阪銀行", "中島税": "中島税務署", "白浜高女": "白浜高等女学校", "人形座・富岡": "富岡人形座", "石垣水産（株）": "石垣水産", "(元)長野鉄道": "長野鉄道", "福井税務署支店": "福井税務署(株)支店"}
+    assert {k: found.get(k) is not None and v in found[k] for k, v in want.items()} == dict.fromkeys(want, True)
+    assert "福井税務署" not in found["福井税務署支店"] and len({id(found[p + k]) for p in PLACES for k in KINDS}) == len(PLACES) * len(KINDS)
+
+
+def test_prefix_join_against_brute_force(spark):
+    rows = {japanese_core(n)[0]: turned_core(n) for _, n, _ in corpus() if n and n.strip() and len(n) < 100}
+    cores = sorted(rows)
+    df = spark.createDataFrame([(c, c, "", rows[c]) for c in cores], "cls string, core string, branch string, turned string")
+    bits = {r.cls: (list(r.fwd), list(r.bwd)) for r in surprise(df).collect()}
+    assert all(len(f) == len(b) == len(c) for c, (f, b) in bits.items())
+    alike = {(a, b) for i, a in enumerate(cores) for b in cores[i + 1 :] if soft_similarity(a, *bits[a], b, *bits[b]) >= SIMILAR}
+    met = {tuple(sorted((r.id_l, r.id_r))) for r in meeting_cores(df).collect()}
+    assert alike and len(alike & met) >= 0.9 * len(alike)
 
 
 def test_organisations_link_by_spelling_and_translation(spark):
     rows = [
         ("O1", "株式會社南樫戸水産", "South Kashito Fisheries Co., Ltd."), ("O2", "南樫戸水產㈱", None), ("O3", "SOUTH KASHITO FISHERIES COMPANY", None), ("O4", "南樫戸水産株式會社支店", None), ("O5", "南樫尾水産", "South Kashio Fisheries"),
-        ("O6", "南樫戸製糖", None), ("O7", None, None), ("O8", "", ""), ("O2", "南樫戸水產㈱", None), ("O9", "北鮎郵便局", None), ("O10", "北鮎郵", None), ("O11", "南樫戸水産（株）支店", None), (None, "南樫戸水産", None),
+        ("O6", "南樫戸製糖", None), ("O7", None, None), ("O8", "", ""), ("O2", "南樫戸水產㈱", None), ("O11", "南樫戸水産（株）支店", None), (None, "南樫戸水産", None),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "organization_id string, name string, name_en string, core string")
     groups = {}
     for r in organisation_groups(df).collect():
         groups.setdefault(r["group"], set()).add(r.organization_id)
-    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset({"O1", "O2", "O3"}), frozenset({"O9", "O10"}), frozenset({"O4", "O11"})}
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset({"O1", "O2", "O3"}), frozenset({"O4", "O11"})}
+    assert {x for g in groups.values() for x in g} == {"O1", "O2", "O3", "O4", "O5", "O6", "O11"}
     assert organisation_groups(df.limit(0)).count() == 0
 
 
@@ -66,3 +103,14 @@ def test_relatives_link_by_reading(spark):
     pairs = {(r.key_a, r.key_b) for r in name_links(orgs, df).collect()}
     assert ("12", "13") in pairs and ("6", "7") in pairs and len(pairs) == 10 + 3 + 1 + 1
     assert relative_groups(df.limit(0)).count() == 0
+    whole = {(r.kind, r.key): r["group"] for r in name_groups(orgs, df).collect()}
+    assert whole["relative", "1"] == whole["relative", "3"] != whole["relative", "6"] and len(whole) == 14
+
+
+def test_a_rare_misspelling_of_a_common_reading_links(spark):
+    rows = [(i, f"P{i}", "SADAO", None) for i in range(60)] + [(100, "P1", "SADOA", None), (101, "P2", "SADAKO", None), (102, "P3", "SA", None)]
+    df = spark.createDataFrame(rows, "member_id long, person_id string, name string, name_latin string")
+    groups = {}
+    for r in relative_groups(df).collect():
+        groups.setdefault((r.person_id, r["group"]), []).append((r.member_id, r.n_links))
+    assert {tuple(sorted(g)) for g in groups.values() if len(g) > 1} >= {((1, 1), (100, 1))} and [(3, 0)] in groups.values()
