@@ -1,10 +1,11 @@
 """Template residue, filler, error pages and script notices in document texts.
 
-Labelled exemplars (below) are indexed by their features.  A text is read in passage windows (lines,
-sentences, and bracketed spans); a window retrieves the classes that share features with it, and the
-TF-IDF weight of the window that the class's exemplars cover decides.  Weights come from the whole corpus:
-a feature common in biographies carries little, one that they never use carries much, so a biography
-that speaks of a page, a server or a script is not covered.
+Labelled exemplars (below) are indexed by their features.  A text is read once, in passage windows (lines,
+sentences, and bracketed spans).  A window of which the index knows too little to be covered, whatever
+the weights, is passed over; the others are kept with the counts of the index's features.  Then the TF-IDF
+weight of a window that the exemplars of a class cover decides.  Weights come from the whole corpus: a feature
+common in biographies carries little, one that they never use carries much, so a biography that speaks
+of a page, a server or a script is not covered.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meibo.session import materialize
+
 PLACEHOLDER, FILLER, ERROR, NOTICE = "placeholder", "filler", "error", "notice"
 
 # Labelled exemplars of residue.
 EXEMPLARS: dict[str, list[str]] = {
     FILLER: [
+        "this is sample text", "sample text goes here", "this is only sample text to fill the page", "this text is only a placeholder", "your biography goes here", "insert your biography here", "enter your text here", "insert content here", "content goes here", "content to follow", "text coming soon", "biography coming soon", "dummy text", "this paragraph is dummy text", "lorem ipsum dolor sit amet", "sed do eiusmod tempor", "ut enim ad minim veniam", "duis aute irure dolor", "これはダミーテキストです。", "これはサンプルテキストです。", "サンプルの文章です。", "ここに文章を入力してください。", "ここに略歴を入力してください。", "本文が入ります。", "本文が入る予定です。", "この文章はサンプルです。", "略歴は準備中です。", "テストテストテスト", "ダミーダミーダミー", "여기에 본문을 입력하세요.", "샘플 본문입니다.", "내용을 입력하세요", "내용 준비 중입니다.", "此處為示例文本", "請在此輸入文字", "請在此輸入內容", "示例文字示例文字", "測試文字", "這是示範文字。", "內容準備中",
         "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
         "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
         "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
@@ -42,6 +46,7 @@ EXEMPLARS: dict[str, list[str]] = {
         "這裡是示範文字。", "這是一段佔位文字。", "內容待補。", "請在此填寫簡介。",
     ],
     ERROR: [
+        "404 error page not found", "page not found", "the page could not be found", "the page was not found on this server", "the page you are looking for could not be found", "the page you are looking for does not exist", "the requested page does not exist", "the requested record could not be found on this server", "the record does not exist", "500 server error", "internal server error", "the server encountered an unexpected error", "the server did not answer the request in time", "bad gateway", "gateway timeout the upstream server did not answer", "the service is temporarily unavailable", "the service is down for maintenance please try again later", "please try again later", "something went wrong", "an error occurred please try again", "access to this page is forbidden", "you do not have permission to access this page", "access to this page was denied", "your session has expired", "session expired", "please sign in again to continue", "too many requests please slow down", "the connection has timed out", "the connection to the server was reset", "connection to the database failed", "could not establish a connection to the database", "database query failed", "fatal error uncaught exception in line", "warning undefined index", "parse error unexpected token", "syntax error unexpected token in line", "unhandled exception stack trace", "traceback most recent call last keyerror", "ページが見つかりません", "ページが存在しません。", "お探しのページは存在しません。", "指定されたページが見つかりませんでした。", "お探しのデータは見つかりませんでした。", "アクセスが拒否されました", "このページへのアクセス権限がありません。", "サーバーエラーが発生しました。", "内部エラーが発生しました。しばらくしてから再度お試しください。", "メンテナンス中です。", "ただいまアクセスできません。", "接続できませんでした。", "タイムアウトしました。", "セッションが切れました。", "データベースエラーが発生しました。", "前のページへ戻ってください。", "找不到頁面", "找不到您要的頁面", "頁面不存在或已被移除", "您沒有存取權限", "伺服器內部錯誤", "伺服器錯誤，請稍後再試", "系統維護中，請稍後再試", "連線逾時，請稍後再試", "資料庫錯誤", "服務不可用", "요청하신 페이지를 찾을 수 없습니다", "페이지가 존재하지 않습니다", "접근이 거부되었습니다", "권한이 없습니다", "서버에 오류가 발생했습니다", "시스템 점검 중입니다. 잠시 후 다시 시도해 주세요", "연결 시간이 초과되었습니다. 다시 시도해 주세요", "서비스 점검 중입니다",
         "http status code 404 not found", "error 404 page not found", "404 not found", "400 bad request", "401 unauthorized", "403 forbidden", "access forbidden",
         "405 method not allowed", "408 request timeout", "410 gone", "this page has been removed for good", "429 too many requests", "rate limit exceeded slow down",
         "500 internal server error", "502 bad gateway", "503 service unavailable", "service temporarily unavailable", "504 gateway time-out", "504 gateway timeout",
@@ -60,6 +65,7 @@ EXEMPLARS: dict[str, list[str]] = {
         "페이지를 찾을 수 없습니다", "접근 권한이 없습니다", "연결 시간이 초과되었습니다", "서버 오류가 발생했습니다.", "요청하신 페이지가 존재하지 않습니다", "잠시 후 다시 시도해 주세요", "점검 중입니다", "서비스를 이용할 수 없습니다", "잘못된 요청입니다",
     ],
     NOTICE: [
+        "please enable javascript", "please enable javascript to continue", "please enable javascript in your browser and reload the page", "you must enable javascript to view this page", "this site requires javascript", "this page does not work without javascript", "javascript must be enabled in your browser to view this page", "your browser has javascript disabled", "scripts are disabled in your browser", "please allow scripts to view this page", "please turn on javascript in your browser", "turn on scripting and reload this page", "enable scripts to continue", "please switch on javascript to read this entry", "loading please wait", "JavaScriptが無効になっています。", "JavaScriptを有効にしてからご利用ください。", "ブラウザのJavaScriptを有効にしてください。", "このページはJavaScriptが必要です。", "スクリプトが無効です。", "スクリプトをオンにして再読み込みしてください。", "読み込み中です", "請啟用 JavaScript", "請啟用瀏覽器的 JavaScript 功能", "本頁需要啟用 JavaScript", "您的瀏覽器不支援 JavaScript", "자바스크립트를 켜 주세요.", "자바스크립트가 필요합니다.", "JavaScript를 활성화해 주세요.", "브라우저에서 자바스크립트를 활성화하세요", "스크립트 기능을 켜 주세요.",
         "please enable javascript to view this biography", "you need to enable javascript to continue", "you need to enable js to run this app", "this page requires javascript support, then reload the page", "javascript is required to view this site",
         "this viewer will not work without client-side scripts for full functionality of this site", "to read this entry you must turn on scripting in your browser and refresh", "kindly switch on scripts to continue",
         "it looks like your browser has disabled javascript", "we're sorry, but the reader doesn't work properly without javascript", "javascript is disabled in your browser", "javascript is turned off", "your browser does not support javascript", "please turn on javascript and cookies", "scripts must be allowed to show this page", "loading…",
@@ -83,22 +89,25 @@ TEMPLATE_MARKS = [
 ]
 OTHER_MARKS = [(r"\{", r"\}"), (r"<", r">"), (r"\[", r"\]"), (r"＜", r"＞"), (r"【", r"】"), (r"（", r"）"), (r"〔", r"〕"), (r"〈", r"〉"), (r"《", r"》"), (r"「", r"」"), (r"［", r"］"), (r"｛", r"｝"), (r"\(", r"\)"), (r"TB[DA] ?\(", r"\)")]
 
-_INSIDE = r"[ \t]*([\w.\-/：: 　]{1,48}?)[ \t]*"
-_TEMPLATE = re.compile("|".join(f"(?:{a}{_INSIDE}{b})" for a, b in TEMPLATE_MARKS))
-_OTHER = re.compile("|".join(f"(?:{a}{_INSIDE}{b})" for a, b in OTHER_MARKS))
+_INSIDE = r"[ \t]*([\w.\-/：: 　]+?)[ \t]*"
+# one pass over the openers; what no bracket can begin with is not tried
+_SPAN = re.compile("(?=[{$#<%\\[@&_■X|~*＜【（〔〈《「［｛(T])(?:" + "|".join(f"{a}{_INSIDE}{b}" for a, b in TEMPLATE_MARKS + OTHER_MARKS) + ")")
 # plain brackets need a word of instruction besides the field's name
 _SOFT_OPENERS = ("(", "（", "〔", "「", "《", "〈")
 
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:'[a-z]+)?|\d+|[぀-ヿー]+|[㐀-鿿豈-﫿々○〇]+|[가-힣]+")
 _HTTP = re.compile(r"[45]\d\d")
 _CUT = re.compile(r"\n+|(?<=[。．！？])|(?<=[.!?])\s+")
-_IDENT = re.compile(r"[A-Za-z]+(?:_[A-Za-z0-9]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[A-Z]{2,}(?:[ ._][A-Z]+)*")
+_IDENT = re.compile(r"[A-Za-z]+(?:[_.][A-Za-z0-9]+)+|[A-Za-z][a-z]+(?:[A-Z][a-z]+)+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _INSTRUCT = {"insert", "add", "enter", "fill", "todo", "tbd", "tba", "your", "goes", "here", "put", "type", "replace", "fixme", "missing"}
 _INSTRUCT_CJK = ("未入力", "要記入", "記入", "挿入", "入力", "未記入", "填寫", "填入", "待補", "입력", "未定", "要確認")
 _TOLD_CJK = re.compile("ここに|此處|在此|여기에|を|：|:|の|" + "|".join(sorted(_INSTRUCT_CJK, key=len, reverse=True)))
 
-COVER = {FILLER: 0.8, ERROR: 0.8, NOTICE: 0.8, PLACEHOLDER: 0.85}
+#: an identifier in brackets: no biography has one, so it weighs as a feature never met
+IDENT = "#ident"
+#: share of a window's weight that a class must cover, and containment of one of its exemplars in the window
+COVER = {FILLER: 0.8, ERROR: 0.8, NOTICE: 0.8, PLACEHOLDER: 0.65}
 MIN_CONTAIN = {FILLER: 0.0, ERROR: 0.55, NOTICE: 0.3}
 
 
@@ -143,120 +152,168 @@ class ResidueIndex:
         return sorted(self.postings)
 
 
-def windows(text: str) -> list[str]:
-    """Lines, and the sentences in them."""
+def windows(text: str) -> list[tuple[str, list[str]]]:
+    """Sentences, and lines of several, with their features."""
     out = []
     for line in text.split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        parts = [p.strip() for p in _CUT.split(line) if p and p.strip()]
+        parts = [(p.strip(), features(p)) for p in _CUT.split(line) if p and p.strip()]
         out += parts
-        if len(parts) > 1 and len(line) < 400:
-            out.append(line)
+        if len(parts) > 1:
+            out.append((line.strip(), [f for _, feats in parts for f in feats]))
     return out
 
 
-def _covered(kind: str, feats: list[str], index: ResidueIndex, idf: dict[str, float], top: float) -> tuple[float, float]:
-    """(share of the window's weight that the class covers, highest containment of one of its exemplars in the window)."""
-    cover = index.covers[kind]
-    total = hit = 0.0
-    seen: dict[int, float] = {}
-    for f in feats:
-        w = idf.get(f, top)
-        total += w
-        if f in cover:
-            hit += w
-    for f in set(feats):
-        for k in index.postings.get(f, ()):
-            if index.exemplars[k][0] == kind:
-                seen[k] = seen.get(k, 0.0) + idf.get(f, top)
-    best = max((s / sum(idf.get(f, top) for f in index.exemplars[k][1]) for k, s in seen.items()), default=0.0)
-    return (hit / total if total else 0.0), best
-
-
-def residue_kinds(text: str | None, index: ResidueIndex, idf: dict[str, float], top: float) -> list[str]:
-    """The classes of residue met in a text, in the order placeholder, filler, error, notice."""
-    if not text:
-        return []
-    found = set()
-    for m in _TEMPLATE.finditer(text):
+def spans(text: str) -> list[tuple[str, bool]]:
+    """(inside, told): bracketed spans that may be a placeholder, and whether they hold a word of instruction.
+
+    Plain brackets, which texts use too, are looked at only with such a word.
+    """
+    out = []
+    for m in _SPAN.finditer(text):
         inside = next(g for g in m.groups() if g is not None)
-        if re.search(r"[^\W\d_]", inside) and not re.fullmatch(r"[\d\s]+", inside):
-            mark = m.group()
-            if mark[0] in "%|~" and mark[1] not in "%(|~" and _covered(PLACEHOLDER, _field_features(inside), index, idf, top)[0] < COVER[PLACEHOLDER]:
-                continue
-            found.add(PLACEHOLDER)
-            break
-    if PLACEHOLDER not in found:
-        for m in _OTHER.finditer(text):
-            inside = next(g for g in m.groups() if g is not None)
-            feats = _field_features(inside)
-            if not feats:
-                continue
-            told = any(w in _INSTRUCT for w in feats) or any(w in inside for w in _INSTRUCT_CJK) or m.group()[:2] == "TB"
-            if m.group()[0] in _SOFT_OPENERS and not told:
-                continue
-            if told:
-                feats = _field_features(_TOLD_CJK.sub(" ", inside)) or ["記入"]
-            share, _ = _covered(PLACEHOLDER, feats, index, idf, top)
-            if share >= COVER[PLACEHOLDER] or (_IDENT.fullmatch(inside.strip()) and m.group()[0] in "{<["):
-                found.add(PLACEHOLDER)
-                break
-    for w in windows(text):
-        feats = features(w)
-        known = sum(1 for f in feats if f in index.postings)
-        if not known or known * 2 < len(feats):
+        if not re.search(r"[^\W\d_]", inside):
             continue
+        told = m.group()[:2] == "TB" or any(w in _INSTRUCT for w in _field_features(inside)) or any(w in inside for w in _INSTRUCT_CJK)
+        if told or m.group()[0] not in _SOFT_OPENERS:
+            out.append((inside, told))
+    return out
+
+
+def span_features(inside: str, told: bool, index: ResidueIndex) -> list[str]:
+    """What a span is judged by: its words without those of instruction; an identifier's unknown words count as one."""
+    if told:
+        return _field_features(_TOLD_CJK.sub(" ", inside)) or ["記入"]
+    feats = _field_features(inside)
+    if _IDENT.fullmatch(inside.strip()):
+        known = [f for f in feats if f in index.postings]
+        return [IDENT, *known, *(["#other"] if len(known) < len(feats) else [])]
+    return feats
+
+
+class Weights:
+    """IDF of every exemplar feature, and the exemplars' whole weights; a feature outside the index weighs half the most."""
+
+    def __init__(self, index: ResidueIndex, df: dict[str, int], n: int) -> None:
+        self.index = index
+        self.idf = {f: math.log((n + 1) / (df.get(f, 0) + 1)) + 0.1 for f in index.postings} | {IDENT: math.log(n + 1) + 0.1}
+        self.other = math.log(n + 1) / 2 + 0.1
+        self.norms = [sum(self.idf[f] for f in feats) for _, feats in index.exemplars]
+
+    def covered(self, kind: str, feats: list[str]) -> float:
+        """Share of the window's weight that the class's exemplars cover."""
+        cover, total, hit = self.index.covers.get(kind, ()), 0.0, 0.0
+        for f in feats:
+            w = self.idf.get(f, self.other)
+            total += w
+            if f in cover or f == IDENT and kind == PLACEHOLDER:
+                hit += w
+        return hit / total if total else 0.0
+
+    def contained(self, kind: str, feats: list[str]) -> float:
+        """Highest share of one exemplar of the class that the window holds."""
+        seen: dict[int, float] = {}
+        for f in set(feats):
+            for k in self.index.postings.get(f, ()):
+                if self.index.exemplars[k][0] == kind:
+                    seen[k] = seen.get(k, 0.0) + self.idf[f]
+        return max((s / self.norms[k] for k, s in seen.items()), default=0.0)
+
+    def span_kinds(self, inside: str, told: bool) -> list[str]:
+        return [PLACEHOLDER] if self.covered(PLACEHOLDER, span_features(inside, told, self.index)) >= COVER[PLACEHOLDER] else []
+
+    def window_kinds(self, feats: list[str]) -> list[str]:
+        found = []
         for kind in (FILLER, ERROR, NOTICE):
-            if kind in found:
-                continue
-            share, best = _covered(kind, feats, index, idf, top)
-            if share >= COVER[kind] and best >= MIN_CONTAIN[kind] and (kind != FILLER or best >= 0.8 or len(feats) >= 4):
-                found.add(kind)
+            if self.covered(kind, feats) >= COVER[kind]:
+                best = self.contained(kind, feats)
+                if best >= MIN_CONTAIN[kind] and (kind != FILLER or best >= 0.8 or len(feats) >= 4):
+                    found.append(kind)
+        return found
+
+
+def may_be_covered(feats: list[str], index: ResidueIndex) -> bool:
+    """False if a window can't be covered whatever the weights: no known feature weighs more than two unknown ones.
+
+    A share of 0.8 then takes two known features for each unknown one.
+    """
+    known = sum(f in index.postings for f in feats)
+    return known > 0 and known * 3 >= len(feats) * 2
+
+
+def residue_kinds(text: str | None, weights: Weights) -> list[str]:
+    """The classes of residue met in a text, in the order placeholder, filler, error, notice."""
+    found = {k for inside, told in spans(text or "") for k in weights.span_kinds(inside, told)}
+    for _, feats in windows(text or ""):
+        if may_be_covered(feats, weights.index):
+            found.update(weights.window_kinds(feats))
     return [k for k in (PLACEHOLDER, FILLER, ERROR, NOTICE) if k in found]
 
 
-def exemplar_frequencies(docs: DataFrame, index: ResidueIndex, key: str = "doc_id", text: str = "text") -> tuple[dict[str, float], float]:
-    """IDF of every exemplar feature over all documents, and the weight of a feature outside the index.
+_SPAN_ROW, _TOLD_ROW, _WINDOW_ROW, _COUNT_ROW = "span", "told", "window", "count"
 
-    Only counts of exemplar features are gathered, pre-added per batch; their number is bounded by the
-    exemplar table whatever the corpus holds.
+
+def passages(docs: DataFrame, index: ResidueIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, what, value, n): each document's windows and spans that may be residue, and per batch how many documents hold a feature.
+
+    The texts are read whole, and once.  Documents without such a passage leave no row.
     """
     vocab = frozenset(index.postings)
+    src = docs.select(key, F.col(text).alias("_text"))
+    schema = src.drop("_text").schema.add("what", T.StringType()).add("value", T.StringType()).add("n", T.LongType())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, {}
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            kind = batch.schema.field(0).type
+            ids, what, value = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n += 1
-                for f in set(features(t or "")) & vocab:
+                if not t:
+                    continue
+                met = set()
+                for w, feats in windows(t):
+                    met.update(feats)
+                    if may_be_covered(feats, index):
+                        ids.append(i), what.append(_WINDOW_ROW), value.append(w)
+                for f in met & vocab:
                     df[f] = df.get(f, 0) + 1
-        df[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["feature", "n"])
+                for inside, told in spans(t):
+                    feats = span_features(inside, told, index)
+                    if any(f in vocab or f == IDENT for f in feats):
+                        ids.append(i), what.append(_TOLD_ROW if told else _SPAN_ROW), value.append(inside)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(what, pa.string()), pa.array(value, pa.string()), pa.nulls(len(ids), pa.int64())], names=[key, "what", "value", "n"])
+        if n:
+            df[""] = n
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(df), kind), pa.array([_COUNT_ROW] * len(df), pa.string()), pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=[key, "what", "value", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    df = {r["feature"]: r["n"] for r in rows}
-    n = df.pop("", 0)
-    return {f: math.log((n + 1) / (df.get(f, 0) + 1)) + 0.1 for f in vocab}, math.log(n + 1) / 2 + 0.1
+    return src.mapInArrow(scan, schema)
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", index: ResidueIndex | None = None) -> DataFrame:
     """(key, kinds): the documents that hold residue, wholly or for a stretch, with its classes.
 
-    Null, empty and blank texts hold none.  Whole texts are read.  Repeated rows come out repeatedly.
+    Null, empty and blank texts hold none.  Whole texts are read.  Repeated keys come out once; documents with a
+    null key count but have no row.  Only the counts of exemplar features reach the driver; their number is
+    bounded by the exemplar table whatever the corpus holds.
     """
     index = index or ResidueIndex()
-    idf, top = exemplar_frequencies(docs, index, key, text)
-    src = docs.select(key, F.col(text).alias("_text"))
-    schema = src.drop("_text").schema.add("kinds", T.ArrayType(T.StringType()))
+    rows = materialize(passages(docs, index, key, text), "passages")
+    df = {r["value"]: r["n"] for r in rows.where(F.col("what") == _COUNT_ROW).groupBy("value").agg(F.sum("n").alias("n")).collect()}
+    weights = Weights(index, df, df.pop("", 0))
+    src = rows.where((F.col("what") != _COUNT_ROW) & F.col(key).isNotNull()).select(key, "what", "value")
+    schema = src.drop("what", "value").schema.add("kind", T.StringType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [residue_kinds(t, index, idf, top) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string()))], names=[key, "kinds"])
-
-    return src.mapInArrow(run, schema).where(F.size("kinds") > 0)
+            ids, kinds = [], []
+            for i, what, value in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for k in weights.window_kinds(features(value)) if what == _WINDOW_ROW else weights.span_kinds(value, what == _TOLD_ROW):
+                    ids.append(i), kinds.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(kinds, pa.string())], names=[key, "kind"])
+
+    order = F.array(*[F.lit(k) for k in (PLACEHOLDER, FILLER, ERROR, NOTICE)])
+    found = src.mapInArrow(judge, schema).groupBy(key).agg(F.collect_set("kind").alias("_kinds"))
+    return found.select(key, F.array_intersect(order, "_kinds").alias("kinds"))
 
 
 def keep_clean(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
