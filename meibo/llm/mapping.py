@@ -1,8 +1,9 @@
 """Free-entered values to a canonical list.
 
 Every distinct value gives a few reading forms (cleaned, abbreviations written out, turned word order,
-kana, the kinship word at its end ...), the list gives its spellings.  A prefix-filtered set-similarity
-join on q-grams brings forms and spellings together; an exact check of edits follows; the best pair wins.
+kana, the kinship word at its end ...), the list gives its spellings; both are sets of q-grams.  A prefix-filtered
+set-similarity join finds each form's spellings, the Jaccard similarity is verified exactly, and the most
+similar one is kept if it passes an exact check of edits.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meibo.functions.text import fold, is_kana, osa_distance, to_hiragana
 from meibo.operators.setsim import qgrams, similar_sets
+from meibo.session import materialize, spread
 
 THRESHOLD = 0.3
 LATIN, KANA, KANJI = "latin", "kana", "kanji"
@@ -174,38 +176,36 @@ def map_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHOLD
     """(field_name, raw_value, term_id): each distinct non-null value with its entry, 0 if none is near.
 
     ``values`` has field_name and raw_value; repeated rows fold into one.  An empty or blank value is
-    unmatched.  Ties go to the nearer form, then the higher similarity, then the smaller term_id.  An
+    unmatched.  The most similar spelling wins; ties go to the nearer form, the list's own spelling, the smaller term_id.  An
     empty list leaves every value unmatched.
     """
     values = values.select("field_name", "raw_value").where(F.col("raw_value").isNotNull()).distinct()
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f, v, s, x, k) for f, v in zip(pdf["field_name"], pdf["raw_value"]) for s, x, k in value_forms(f, v)]
+            rows = [(f, v, s, x, k) for f, v in zip(pdf["field_name"], pdf["raw_value"]) for s, x, k in value_forms(f, v) or [(None, None, 0)]]
             yield pd.DataFrame(rows, columns=["field_name", "raw_value", "script", "form", "rank"])
 
-    each = values.mapInPandas(forms, "field_name string, raw_value string, script string, form string, rank int")
-    listed = _canonical_forms(terms, aliases)
+    # a value without a form keeps a row: the table holds every value, and the large tables are read once
+    each = materialize(spread(values, "raw_value").mapInPandas(forms, "field_name string, raw_value string, script string, form string, rank int"), "value-forms")
+    listed = materialize(_canonical_forms(terms, aliases), "list-forms")
     mark = F.concat_ws("/", "field_name", "script")
     key = F.concat_ws("/", "field_name", "script", "form")
-    left = each.select(key.alias("id"), "field_name", "script", "form").distinct().withColumn("tokens", qgrams(F.col("form"), 2, mark))
-    right = listed.select(key.alias("id"), "field_name", "script", "form").distinct().withColumn("tokens", qgrams(F.col("form"), 2, mark))
-    pairs = similar_sets(left, right, threshold)
+    sets = lambda df: df.where("form is not null").select(key.alias("id"), mark.alias("mark"), "form").distinct().withColumn("tokens", qgrams("form", 2))
+    pairs = similar_sets(sets(each), sets(listed), threshold, mark="mark")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            dist = []
+            keep = []
             for a, b in zip(pdf["id_l"], pdf["id_r"]):
                 script, x, y = a.split("/", 2)[1], a.split("/", 2)[2], b.split("/", 2)[2]
                 limit = edits_allowed(max(len(x), len(y))) if script == LATIN else 0
-                d = osa_distance(x, y, limit)
-                dist.append(d if d <= limit else None)
-            yield pdf.assign(edits=pd.array(dist, dtype="Int32")).dropna(subset=["edits"])
+                keep.append(x == y or limit > 0 and osa_distance(x, y, limit) <= limit)
+            yield pdf.loc[keep]
 
-    near = pairs.mapInPandas(check, "id_l string, id_r string, jaccard double, edits int")
+    near = pairs.mapInPandas(check, "id_l string, id_r string, jaccard double")
     targets = listed.select(key.alias("id_r"), "term_id", "weak").groupBy("id_r", "term_id").agg(F.min("weak").alias("weak"))
     scored = each.withColumn("id_l", key).join(near, "id_l").join(targets, "id_r")
-    share = F.col("edits") / F.length("form")
-    order = Window.partitionBy("field_name", "raw_value").orderBy(F.col("script") != LATIN, F.when(F.col("script") == LATIN, share).otherwise(F.col("rank")), "rank", F.col("jaccard").desc(), "weak", "term_id")
-    best = scored.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("field_name", "raw_value", "term_id")
-    return values.join(best, ["field_name", "raw_value"], "left").select("field_name", "raw_value", F.coalesce("term_id", F.lit(0).cast("bigint")).alias("term_id"))
+    best = scored.groupBy("field_name", "raw_value").agg(F.min_by("term_id", F.struct((-F.col("jaccard")).alias("j"), (F.col("script") != LATIN).alias("s"), "rank", "weak", "term_id")).alias("term_id"))
+    every = each.select("field_name", "raw_value").distinct()
+    return every.join(best, ["field_name", "raw_value"], "left").select("field_name", "raw_value", F.coalesce("term_id", F.lit(0).cast("bigint")).alias("term_id"))

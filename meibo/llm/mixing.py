@@ -2,22 +2,19 @@
 
 Within a source every document expects the same number of copies, the source's rate.  The expected
 copies are summed up along the source (documents by rising size, so a source's tokens come out evenly),
-one random offset is added, and a document is emitted once per integer the running sum crosses in it.  As few
-long documents can hold much of a source, the offset is the one of 64 random ones whose tokens come nearest to
-the source's share; all of them are weighed in one pass.
+one random offset is added, and a document is emitted once per integer the running sum crosses in it.  So every
+document's expected copies are its source's rate; where few long documents hold much of a source, its actual
+share misses the target by what one of them weighs.
 The running sum is built in two levels: sums per bucket, then inside each bucket, so no source, however
 large, is summed in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meibo.session import materialize
-
 SUB_BUCKETS = 64
-OFFSETS = 64
 
 
 def mix_rates(items: DataFrame, targets: DataFrame, size: str = "n_tokens", total: int | None = None) -> DataFrame:
@@ -45,7 +42,7 @@ def mix(items: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "
     source's ``max_repeats``.  Sizes that are null count as 0.  An empty table gives an empty mix.
     """
     items = items.select(F.col(key), "source", F.coalesce(F.col(size), F.lit(0)).alias("n_tokens"))
-    rates = mix_rates(items, targets, "n_tokens", total).where(F.col("rate") > 0).select("source", "rate", "max_repeats", (F.col("rate") * F.col("source_tokens")).alias("_goal"))
+    rates = mix_rates(items, targets, "n_tokens", total).where(F.col("rate") > 0).select("source", "rate", "max_repeats")
     bucketed = items.join(F.broadcast(rates), "source").withColumns({
         "_band": F.floor(F.log2(F.col("n_tokens") + 1) * 8).cast("int"),
         "_mix": F.xxhash64(F.col(key), F.lit(seed)),
@@ -56,18 +53,10 @@ def mix(items: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "
     before = Window.partitionBy("source").orderBy("_band", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy("n_tokens", "_mix", key)) + F.col("_before")
-    walked = materialize(bucketed.join(starts, bucket).select(key, "source", "n_tokens", "rate", "max_repeats", "_goal", rank.alias("_rank")), "walked")
-
-    def copies(offset: Column) -> Column:
-        crossed = F.floor(F.col("_rank") * F.col("rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("rate") + offset)
-        return F.least(crossed, F.col("max_repeats"))
-
-    offset = lambda k: F.pmod(F.xxhash64(F.col("source"), F.lit(seed), k), F.lit(1 << 30)) / float(1 << 30)
-    weighed = walked.groupBy("source").agg(F.first("_goal").alias("_goal"), *[F.sum(F.col("n_tokens") * copies(offset(F.lit(k)))).alias(f"_t{k}") for k in range(OFFSETS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("_goal")).alias("d"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
-    # one row per source of the target table
-    chosen = weighed.select("source", nearest["k"].alias("_k"))
-    out = walked.join(F.broadcast(chosen), "source").withColumn("copies", copies(offset(F.col("_k"))).cast("int"))
+    walked = bucketed.join(starts, bucket).select(key, "source", "n_tokens", "rate", "max_repeats", rank.alias("_rank"))
+    offset = F.pmod(F.xxhash64(F.col("source"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    crossed = F.floor(F.col("_rank") * F.col("rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("rate") + offset)
+    out = walked.withColumn("copies", F.least(crossed, F.col("max_repeats")).cast("int"))
     return out.where("copies > 0").select(key, "source", "n_tokens", "copies")
 
 
