@@ -4,11 +4,15 @@ Each round every vertex draws an exponential head start; clusters grow from the
 first, hop by hop, and a vertex joins the cluster that reaches it earliest.  Clusters contract to
 super-vertices, the edges between clusters are the next round's graph, and the assignments of all
 rounds compose to the group.  Growth is cut after ``hops`` hops, which bounds a cluster's diameter and
-never joins what is not linked; what it leaves apart the next round joins.
+never joins what is not linked; what it leaves apart the next round joins.  Once two rounds have shrunk the
+graph to ``FINISH`` links or fewer, the last recursion takes them in one bounded step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from meibo.session import materialize, release
 BETA = 0.1
 HOPS = 4
 MAX_ROUNDS = 64
+#: links between clusters that one task may finish, from the third round on
+FINISH = 100_000
 
 
 def head_start(vertex: Column, round_no: int, beta: float = BETA) -> Column:
@@ -26,27 +32,49 @@ def head_start(vertex: Column, round_no: int, beta: float = BETA) -> Column:
     return -F.log(u) / beta
 
 
-def _grow(edges: DataFrame, round_no: int, hops: int, beta: float) -> DataFrame:
-    """(v, c): the cluster centre of every vertex of ``edges`` (a, b: each undirected edge once)."""
+def _round(edges: DataFrame, round_no: int, hops: int, beta: float) -> tuple[DataFrame, DataFrame]:
+    """(clusters, links left) of one round; clusters (v, c): the cluster centre of every vertex of ``edges`` (a, b: each undirected edge once)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     both = materialize(both.repartition("u"), "edges")
+    # either end of a link is a "u": hot ones are told once for growth and contraction
     hot = hot_keys(both, "u")
     label = both.select(F.col("u").alias("v")).distinct().select("v", (-head_start(F.col("v"), round_no, beta)).alias("at"), F.col("v").alias("c"))
     for _ in range(hops):
         reached = skew_lookup(both, label.withColumnRenamed("v", "u"), "u", "inner", hot=hot).select("v", (F.col("at") + 1).alias("at"), "c")
         best = label.unionByName(reached).groupBy("v").agg(F.min(F.struct("at", "c")).alias("m"))
         label = best.select("v", F.col("m.at").alias("at"), F.col("m.c").alias("c"))
-    out = materialize(label.select("v", "c"), "clusters")
+    clusters = materialize(label.select("v", "c"), "clusters")
+    ends = [clusters.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
+    moved = skew_lookup(skew_lookup(edges, ends[0], "a", "inner", hot=hot), ends[1], "b", "inner", hot=hot).where(F.col("ca") != F.col("cb"))
+    left = materialize(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
     release(both)
-    return out
+    return clusters, left
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(v, c): every vertex of at most ``FINISH`` links with the smallest one it is linked to, in one task."""
+    kind = edges.schema["a"].dataType
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+        schema = None
 
-def _contract(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The distinct edges between different clusters."""
-    ca = clusters.select(F.col("v").alias("a"), F.col("c").alias("ca"))
-    cb = clusters.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    moved = skew_lookup(skew_lookup(edges, ca, "a", "inner"), cb, "b", "inner").where(F.col("ca") != F.col("cb"))
-    return moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        def root(x: object) -> object:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = above[up]
+                x = up
+            return x
+
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                above[max(x, y)] = min(x, y)
+        if schema is not None:
+            ids = list(above)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array([root(x) for x in ids], schema.field(0).type)], names=["v", "c"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"v {kind.simpleString()}, c {kind.simpleString()}")
 
 
 def consolidate(pairs: DataFrame, a: str, b: str, hops: int = HOPS, beta: float = BETA) -> DataFrame:
@@ -60,10 +88,13 @@ def consolidate(pairs: DataFrame, a: str, b: str, hops: int = HOPS, beta: float
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     rounds: list[DataFrame] = []
     for k in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
+            break
+        if k >= 2 and n <= FINISH:
+            rounds.append(materialize(_finish(edges), "clusters"))
             break
-        clusters = _grow(edges, k, hops, beta)
-        left = materialize(_contract(edges, clusters), "links")
+        clusters, left = _round(edges, k, hops, beta)
         release(edges)
         edges = left
         rounds.append(clusters)
