@@ -1,11 +1,12 @@
 """Deeply nested records to flat tables, routed by structural variant.
 
-A bottom-up tree automaton runs over each parsed answer: leaves enter the states null, flag, number
-and text; an array's state is the set of its items' states; an object's state is the set of its
-keys with their values' states.  An object state is a structural variant.  Every object that is a
-relative, an education or a career entry becomes a row of its subtype's table: the supertype keys
-(bio_id, parent_path, node_path, depth, kind, variant) are the same in all tables, the typed columns
-are the subtype's, and fields whose state does not fit the type stay as JSON in ``rest``.
+A tree automaton runs over each parsed answer.  Bottom-up every node gets its shape: a leaf is null, flag, number
+or text, an array the set of its items' shapes, an object its keys with their values' shapes, where what lies
+below another object is folded, so that shapes are finite at any depth.  Top-down every node gets its role: the
+parent's role, the key it hangs on and its shape lead to one by the transition table, to none where the table has
+no entry.  Role and shape are the node's state: a structural variant.  A variant is routed to the typed subtype table
+of its role: the supertype keys (bio_id, parent_path, node_path, depth, kind, variant) are the same in all tables,
+the typed columns are the subtype's, and fields whose shape does not fit the type stay as JSON in ``rest``.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from meibo.functions.jsonfix import BROKEN, NOTHING, parse_answer
 
 RELATIVE, EDUCATION, CAREER = "relative", "education", "career"
-#: child key -> (path letter, kind of its objects)
-CHILDREN = {"family_member": ("f", RELATIVE), "education": ("e", EDUCATION), "career": ("c", CAREER)}
+ANSWER = "answer"
+#: the automaton's transitions: (role of an object, key) -> role of the objects that hang on it, directly or as items
+TRANSITIONS = {(ANSWER, "family_member"): RELATIVE, (RELATIVE, "family_member"): RELATIVE, (RELATIVE, "education"): EDUCATION, (RELATIVE, "career"): CAREER}
+#: the letter of a role in a path
+LETTERS = {RELATIVE: "f", EDUCATION: "e", CAREER: "c"}
 TYPED = {
     RELATIVE: {"name": str, "relation": str, "birth_year": int, "birth_year_raw": str, "place": str},
     EDUCATION: {"institution": str, "major_of_study": str, "year_graduated": int, "year_raw": str},
@@ -46,22 +50,23 @@ def leaf_state(v: object) -> str:
     return "number" if isinstance(v, (int, float)) else "text"
 
 
-def state_of(value: object) -> str:
-    """The state a whole tree ends in; children are settled before their parent, at any depth."""
-    done: dict[int, str] = {}
-    stack = [(value, False)]
-    while stack:
-        v, ready = stack.pop()
-        if isinstance(v, (dict, list)) and not ready:
-            stack.append((v, True))
-            stack += [(c, False) for c in (v.values() if isinstance(v, dict) else v) if isinstance(c, (dict, list))]
-        elif isinstance(v, (dict, list)):
-            of = lambda c: done[id(c)] if isinstance(c, (dict, list)) else leaf_state(c)
-            if isinstance(v, list):
-                done[id(v)] = "[" + "|".join(sorted({of(c) for c in v})) + "]"
-            else:
-                done[id(v)] = "{" + ",".join(f"{k}:{'*' if k in CHILDREN and isinstance(v[k], (dict, list)) else of(v[k])}" for k in sorted(v)) + "}"
-    return done.get(id(value)) or leaf_state(value)
+def folded(v: object) -> str:
+    """The state of a value as its parent sees it: what lies below an object is folded."""
+    if isinstance(v, dict):
+        return "{}"
+    if isinstance(v, list):
+        return "[" + "|".join(sorted({"{}" if isinstance(c, dict) else "[]" if isinstance(c, list) else leaf_state(c) for c in v})) + "]"
+    return leaf_state(v)
+
+
+def state_of(role: str, obj: dict) -> str:
+    """The state of an object: its role and its shape."""
+    return role + "{" + ",".join(f"{k}:{folded(obj[k])}" for k in sorted(obj)) + "}"
+
+
+def role_of(state: str) -> str:
+    """The role in a state, which is the subtype table its variant is routed to."""
+    return state.partition("{")[0]
 
 
 def _fit(value: object, kind: type) -> tuple[object, bool]:
@@ -95,33 +100,39 @@ def _as_items(value: object) -> list:
 
 
 def flatten(bio_id: int, answer: object) -> Iterator[dict]:
-    """One row per object that is a relative, or an education or career entry of one, in document order."""
+    """One row per object that the automaton gives a role, in document order, routed by its state."""
     if isinstance(answer, dict) and set(answer) == {"family_member"}:
         answer = answer["family_member"]
-    stack = [(bio_id, "", "f", RELATIVE, 0, k, v) for k, v in reversed(list(enumerate(_as_items(answer))))]
+
+    def below(role: str, key: str, value: object, parent: str, depth: int) -> list[tuple]:
+        to = TRANSITIONS.get((role, key))
+        if to is None:
+            return []
+        at = f"{parent}/{LETTERS[to]}" if parent else LETTERS[to]
+        return [(state_of(to, v), f"{at}{k}", parent, depth, v) for k, v in enumerate(_as_items(value)) if isinstance(v, dict)]
+
+    stack = below(ANSWER, "family_member", answer, "", 0)[::-1]
     while stack:
-        bio, parent, letter, kind, depth, k, obj = stack.pop()
-        if not isinstance(obj, dict):
-            continue
-        path = f"{parent}/{letter}{k}" if parent else f"{letter}{k}"
-        row: dict = {"bio_id": bio, "parent_path": parent, "node_path": path, "depth": depth, "kind": kind, "variant": state_of({a: b for a, b in obj.items() if a not in CHILDREN or not isinstance(b, (dict, list))})}
-        rest = {}
+        state, path, parent, depth, obj = stack.pop()
+        role = role_of(state)
+        typed = TYPED[role]
+        row: dict = {"bio_id": bio_id, "parent_path": parent, "node_path": path, "depth": depth, "kind": role, "variant": state}
+        rest, children = {}, []
         for key, value in obj.items():
-            name = _ALIASES.get(key, key)
-            if kind == RELATIVE and key in CHILDREN:
+            if (role, key) in TRANSITIONS:
                 continue
-            if name in TYPED[kind]:
-                row[name], fitted = _fit(value, TYPED[kind][name])
+            name = _ALIASES.get(key, key)
+            if name in typed:
+                row[name], fitted = _fit(value, typed[name])
                 if fitted:
                     continue
             rest[key] = value
         row["rest"] = _dump(rest) if rest else None
         yield row
-        if kind == RELATIVE:
-            below = []
-            for key, (child_letter, child_kind) in CHILDREN.items():
-                below += [(bio, path, child_letter, child_kind, depth + 1, i, v) for i, v in enumerate(_as_items(obj.get(key)))]
-            stack += reversed(below)
+        for r, key in TRANSITIONS:
+            if r == role and key in obj:
+                children += below(role, key, obj[key], path, depth + 1)
+        stack += children[::-1]
 
 
 def _dump(value: object) -> str:
@@ -155,9 +166,9 @@ def nested_nodes(records: DataFrame, key: str = "bio_id", answer: str = "family_
 
 
 def subtype_table(nodes: DataFrame, kind: str) -> DataFrame:
-    """The typed table of one subtype: the supertype keys, the subtype's own columns, and ``rest``."""
+    """The typed table of one subtype, to which the variants of its role are routed: the supertype keys, its own columns, and ``rest``."""
     own = [k for k in TYPED[kind]]
-    return nodes.where(F.col("kind") == kind).select(*[n for n, _ in _SUPER], *own, "rest")
+    return nodes.where(F.substring_index("variant", "{", 1) == kind).select(*[n for n, _ in _SUPER], *own, "rest")
 
 
 def variant_catalogue(nodes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import json
 
 from meibo.functions.jsonfix import BROKEN, NOTHING, parse_answer
-from meibo.operators.variants import CAREER, EDUCATION, RELATIVE, flatten, nested_nodes, state_of, subtype_table, variant_catalogue
+from meibo.operators.variants import CAREER, EDUCATION, RELATIVE, flatten, nested_nodes, role_of, state_of, subtype_table, variant_catalogue
 
 REL = [{"name": "a", "education": [0, {"institution": "x"}], "career": {"job_title": "t"}, "family_member": [{"name": "b", "family_member": {"name": "c", "education": None}}]}, None, "不詳", {"relation": "父"}]
 
@@ -34,7 +34,9 @@ def test_single_object_and_depth():
     deep = '{"name":"x","family_member":[' * 3000 + "1" + "]}" * 3000
     got = paths(deep)
     assert len(got) == 3000 and got[-1][1].count("/") == 2999
-    assert state_of([1, "a", None, True, {"k": [1.5]}]) == "[flag|null|number|text|{k:[number]}]"
+    assert state_of(RELATIVE, {"k": [1.5, "a", None, True, {}, []], "a": {"b": 1}}) == "relative{a:{},k:[[]|flag|null|number|text|{}]}"
+    rows = {r["node_path"]: r for r in flatten(1, REL)}
+    assert rows["f0/e1"]["variant"] == "education{institution:text}" and all(role_of(r["variant"]) == r["kind"] for r in rows.values())
 
 
 def test_tables_route_by_subtype(spark):
