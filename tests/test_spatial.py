@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meibo.operators.spatial import EARTH_KM, bounding_hierarchy, ear_clip, near_pairs, regions_of_points, triangulate
+from meibo.operators.spatial import EARTH_KM, bounding_hierarchy, crosses_itself, ear_clip, near_pairs, regions_of_points, triangulate
 
 
 def hav(a, b):
@@ -62,3 +62,33 @@ def test_empty_inputs(spark):
     assert near_pairs(none, "k", "la", "lo").count() == 0
     rdf = spark.createDataFrame([], "region_id string, rings array<array<struct<lon double, lat double>>>")
     assert regions_of_points(spark.createDataFrame([(1, 1.0, 1.0)], "_pid long, _x double, _y double"), rdf).count() == 0
+
+
+def test_rings_that_cross_themselves_follow_the_even_odd_rule(spark):
+    star = [(math.cos(4 * math.pi * k / 5), math.sin(4 * math.pi * k / 5)) for k in range(5)]
+    rings = {"cross": [(0, 0), (2, 2), (2, 0), (0, 2), (1, 5)], "star": star, "eight": [(0, 0), (2, 2), (2, 0), (0, 2)], "twice": [(0, 0), (1, 1), (2, 0), (2, 2), (1, 1), (0, 2)], "none": [(0, 0), (None, 1), (2, 0)]}
+    assert all(crosses_itself(r) for k, r in rings.items() if k != "none") and not crosses_itself([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)])
+    fl = lambda v: None if v is None else float(v)
+    rdf = spark.createDataFrame([(k, [[(fl(x), fl(y)) for x, y in r]]) for k, r in rings.items()], "region_id string, rings array<array<struct<lon double, lat double>>>")
+    rnd = random.Random(8)
+    pts = [(i, rnd.uniform(-1.2, 2.2), rnd.uniform(-1.2, 5.2)) for i in range(600)] + [(600, 1.0, 1.9)]
+    got = {(r._pid, r.region_id) for r in regions_of_points(spark.createDataFrame(pts, "_pid long, _x double, _y double"), rdf).collect()}
+    assert got == {(i, k) for i, x, y in pts for k, r in rings.items() if k != "none" and inside(x, y, [r])}
+
+
+def test_a_point_on_a_shared_border_is_in_one_region(spark):
+    regions = {"W": [(0, 0), (1.3, 0.1), (1.7, 3.3), (0, 3)], "E": [(1.3, 0.1), (4, 0), (4, 3), (1.7, 3.3)], "N": [(0, 3), (1.7, 3.3), (4, 3), (2, 6)]}
+    rdf = spark.createDataFrame([(k, [[(float(x), float(y)) for x, y in r]]) for k, r in regions.items()], "region_id string, rings array<array<struct<lon double, lat double>>>")
+    pts = [(i, 1.3 + 0.4 * i / 64, 0.1 + 3.2 * i / 64) for i in range(1, 64)] + [(100, 1.7, 3.3), (101, 1.5, 1.7)]
+    got = [r._pid for r in regions_of_points(spark.createDataFrame(pts, "_pid long, _x double, _y double"), rdf).collect()]
+    assert sorted(got) == sorted(p[0] for p in pts)
+
+
+def test_a_crowded_cell_is_dealt_out(spark, monkeypatch):
+    from meibo.operators import spatial
+
+    monkeypatch.setattr(spatial, "CROWD", 5)
+    rnd = random.Random(9)
+    pts = [(f"L{i}", 35 + rnd.random() * 0.03, 139 + rnd.random() * 0.03) for i in range(60)]
+    got = {(r.key_a, r.key_b) for r in near_pairs(spark.createDataFrame(pts, "k string, la double, lo double"), "k", "la", "lo", 2.0).collect()}
+    assert got == {(min(x[0], y[0]), max(x[0], y[0])) for x in pts for y in pts if x[0] != y[0] and hav(x[1:], y[1:]) <= 2.0}
