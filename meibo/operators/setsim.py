@@ -25,11 +25,11 @@ def qgrams(text: Column, q: int = 2, mark: Column | None = None) -> Column:
 
 
 def _weighed(sets: DataFrame, ranks: DataFrame, weight: Column) -> DataFrame:
-    """(id, mark, t, tok, w, total, rest): the tokens of each set, and what weighs it from the token on, rarest first."""
+    """(id, mark, t, tok, df, w, total, rest): the tokens of each set, and what weighs it from the token on, rarest first."""
     own = Window.partitionBy("id")
     each = sets.select("id", "mark", "t", F.explode("tokens").alias("tok")).join(ranks.hint("merge"), "tok").withColumn("w", weight)
     before = own.orderBy("df", "tok").rowsBetween(Window.unboundedPreceding, -1)
-    return each.select("id", "mark", "t", "tok", "w", F.sum("w").over(own).alias("total"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("past")).withColumn("rest", F.col("total") - F.col("past")).drop("past")
+    return each.select("id", "mark", "t", "tok", "df", "w", F.sum("w").over(own).alias("total"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("past")).withColumn("rest", F.col("total") - F.col("past")).drop("past")
 
 
 def _side(weighed: DataFrame, side: str) -> DataFrame:
@@ -53,7 +53,8 @@ def similar_sets(left: DataFrame, right: DataFrame | None, t: float | str, key:
     other = None if right is None else one(right)
     both = sets if other is None else sets.unionByName(other)
     ranks = both.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(F.lit(1.0) + F.lit(float(both.count())) / F.col("df")) if weighted else F.lit(1.0)
+    n_sets = float(both.count()) if weighted else 0.0
+    weight = F.log(F.lit(1.0) + F.lit(n_sets) / F.col("df")) if weighted else F.lit(1.0)
     # read for the prefixes and for the verification: written once instead of planned and computed twice.  The sets are
     # far larger in memory than in their files, so no side is left to be broadcast by its file size
     a = materialize(_weighed(sets, ranks, weight), "weighed-sets")
@@ -65,8 +66,10 @@ def similar_sets(left: DataFrame, right: DataFrame | None, t: float | str, key:
     if other is None:
         met = met.where(F.col("id_l") < F.col("id_r"))
     pairs = met.select("id_l", "id_r", "t_l").distinct()
-    whole = lambda df, side: df.groupBy("id").agg(F.collect_list(F.struct("tok", "w")).alias(f"set_{side}"), F.first("total").alias(f"total_{side}")).withColumnRenamed("id", f"id_{side}")
+    # a token goes with its count: arrays of plain strings are intersected by hash, and the count tells the weight
+    whole = lambda df, side: df.groupBy("id").agg(F.collect_list(F.concat_ws("\x00", "df", "tok")).alias(f"set_{side}"), F.first("total").alias(f"total_{side}")).withColumnRenamed("id", f"id_{side}")
     full = pairs.join(whole(a, "l").hint("merge"), "id_l").join(whole(b, "r").hint("merge"), "id_r")
-    shared = F.aggregate(F.array_intersect("set_l", "set_r"), F.lit(0.0), lambda s, x: s + x["w"])
+    common = F.array_intersect("set_l", "set_r")
+    shared = F.aggregate(common, F.lit(0.0), lambda s, x: s + F.log(F.lit(1.0) + F.lit(n_sets) / F.substring_index(x, "\x00", 1).cast("double"))) if weighted else F.size(common)
     jac = shared / (F.col("total_l") + F.col("total_r") - shared)
     return full.select("id_l", "id_r", jac.alias("jaccard"), "t_l").where(F.col("jaccard") >= F.col("t_l") - _EPS).drop("t_l")
