@@ -6,7 +6,7 @@ frequent ones together, a weighted edit distance with confusion pairs verifies t
 picks between candidates.  For unspaced script a "word" is a character with two neighbours on each side, and
 the delete is the one in its middle: a character that a commoner one replaces in many such contexts is a
 confusion, and a place is a misreading where the replacement makes every context commoner.
-Detection then reads each field once; what it must look up is joined, never collected.
+Headers and page numbers are stripped from each field once; what detection must look up is joined, never collected.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def volume_model(segments: DataFrame) -> DataFrame:
                 for text in texts:
                     for line in (text or "").split("\n"):
                         s = line.strip()
-                        if not s or len(s) > 160:
+                        if not s:
                             continue
                         m = _PAGE.fullmatch(s)
                         if m and scan is not None:
@@ -129,13 +129,14 @@ def volume_model(segments: DataFrame) -> DataFrame:
                                 seen[(vol, "shift", str(scan - n))] += 1
                         elif _displayed(s):
                             key = head_key(s)
-                            if 4 <= len(key) <= 60:
+                            if len(key) >= 4:
                                 seen[(vol, "head", key)] += 1
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], pa.string()) for j in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["volume", "what", "value", "n"])
 
     counts = segments.select("volume", "source_page", "body_text", "text_content").mapInArrow(count, "volume string, what string, value string, n bigint")
-    counts = counts.groupBy("volume", "what", "value").agg(F.sum("n").alias("n"))
+    # read for the headers and for the shift
+    counts = materialize(counts.groupBy("volume", "what", "value").agg(F.sum("n").alias("n")), "volume-counts")
     top = Window.partitionBy("volume", "what")
     ranked = counts.withColumn("most", F.max("n").over(top))
     heads = ranked.where((F.col("what") == "head") & (F.col("n") >= 3) & (F.col("n") * 20 >= F.col("most"))).groupBy("volume").agg(F.sort_array(F.collect_list("value")).alias("headers"))
@@ -158,8 +159,8 @@ def _sampled(header: str) -> tuple[str, ...]:
     return tuple(header[k : k + 2] for k in range(0, len(header) - 1, 1 if len(header) < 14 else 3))
 
 
-def _head_distance(key: str, headers: list[str]) -> int | None:
-    """Edits to the nearest header, None if no header lies within a quarter of its length."""
+@lru_cache(maxsize=1 << 16)
+def _nearest_head(key: str, headers: tuple[str, ...]) -> int | None:
     best = None
     for h in headers:
         limit = max(1, len(h) // 4) if best is None else best - 1
@@ -168,6 +169,11 @@ def _head_distance(key: str, headers: list[str]) -> int | None:
     return best
 
 
+def _head_distance(key: str, headers: list[str]) -> int | None:
+    """Edits to the nearest header, None if no header lies within a quarter of its length.  Headers recur: the last ones are kept."""
+    return _nearest_head(key, tuple(headers))
+
+
 def _is_header(key: str, headers: list[str]) -> bool:
     return _head_distance(key, headers) is not None
 
@@ -302,8 +308,36 @@ def _is_unspaced(text: str) -> bool:
     return bool(_KANA.search(text)) or (bool(_CJK.search(text)) and not re.search(r"[A-Za-z]{3}", text))
 
 
-def corpus_counts(segments: DataFrame) -> DataFrame:
-    """(what, key, n): words 'w', word pairs 'b' and five-character windows 'j' of all texts, marks taken out.
+_STRIPPED = "segment_id bigint, text_field string, unspaced boolean, kinds array<string>, lines string"
+
+
+def stripped(segments: DataFrame) -> DataFrame:
+    """(segment_id, text_field, unspaced, kinds, lines): every non-null field without running headers and page numbers, and which of them it had.
+
+    The texts are read for this once; counting, looking up and repairing start from its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sid, headers, shift, page, head, *texts in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                scan = page_of(page)
+                expect = scan - shift if scan is not None and shift is not None else None
+                if head is not None:
+                    name, kinds = header_name(head, headers or [], expect) if head.strip() else ("", set())
+                    rows.append((sid, "header_ocr", _is_native(name), sorted(kinds), name))
+                for field, text in zip(("body_text", "text_content"), texts):
+                    if text is not None:
+                        lines, kinds = strip_marks(text, headers or [], expect)
+                        rows.append((sid, field, _is_unspaced(text), sorted(kinds), "\n".join(lines)))
+            types = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["segment_id", "text_field", "unspaced", "kinds", "lines"])
+
+    return segments.select("segment_id", "headers", "page_shift", "source_page", "header_ocr", "body_text", "text_content").mapInArrow(run, _STRIPPED)
+
+
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """(what, key, n): words 'w', word pairs 'b' and five-character windows 'j' of all ``stripped`` texts.
 
     Joined parts of divided words enter as words of count 0, so that they are looked up too.  Entry headers count
     apart, as words 'n' (with the names of running text) and windows 'h': what is common in names is not in prose.
@@ -312,44 +346,30 @@ def corpus_counts(segments: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for headers, shift, page, head, *texts in zip(*cols):
-                scan = page_of(page)
-                expect = scan - shift if scan is not None and shift is not None else None
-                if head and head.strip():
-                    name, _ = header_name(head, headers or [], expect)
-                    if _is_native(name):
-                        for win in name_windows(name):
-                            seen[("h", win)] += 1
-                    else:
-                        for w in name.split():
-                            seen[("n", _name_key(w))] += 1
-                for text in texts:
-                    if not text:
-                        continue
-                    lines, _ = strip_marks(text, headers or [], expect)
-                    if _is_unspaced(text):
-                        s = unspaced(lines)
-                        for i in range(2, len(s) - 2):
-                            seen[("j", s[i - 2 : i + 3])] += 1
+            for field, native, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if field == "header_ocr":
+                    if native:
+                        seen.update(("h", win) for win in name_windows(text))
                     else:
-                        words, divided = latin_words(lines)
-                        for p, w in words:
-                            if not _is_name(w):
-                                seen[("w", w.lower())] += 1
-                                if p:
-                                    seen[("b", p + " " + w.lower())] += 1
-                            else:
-                                seen[("w", w.lower())] += 1
-                                seen[("n", w.lower())] += 1
-                        for a, b in divided:
-                            seen[("w", (a + b).lower())] += 0
-                            seen[("w", (a + "-" + b).lower())] += 0
+                        seen.update(("n", _name_key(w)) for w in text.split())
+                elif native:
+                    s = unspaced(text.split("\n"))
+                    seen.update(("j", s[i - 2 : i + 3]) for i in range(2, len(s) - 2))
+                else:
+                    words, divided = latin_words(text.split("\n"))
+                    for p, w in words:
+                        seen[("w", w.lower())] += 1
+                        if _is_name(w):
+                            seen[("n", w.lower())] += 1
+                        elif p:
+                            seen[("b", p + " " + w.lower())] += 1
+                    for a, b in divided:
+                        seen[("w", (a + b).lower())] += 0
+                        seen[("w", (a + "-" + b).lower())] += 0
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["what", "key", "n"])
 
-    src = segments.select("headers", "page_shift", "source_page", "header_ocr", "body_text", "text_content")
-    return src.mapInArrow(count, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
+    return texts.select("text_field", "unspaced", "lines").mapInArrow(count, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
 
 
 def weighted_edits(read: str, word: str, limit: float = 1.3) -> tuple[float, bool]:
@@ -461,18 +481,21 @@ def misread_windows(counts: DataFrame, confusions: DataFrame, odds: float = 50.0
     """(window, d): five-character windows whose middle is a misreading of ``d``.
 
     The windows' three trigrams are compared with those that ``d`` would make; the product of the ratios of
-    their counts must reach ``odds``, and no trigram may become rarer.  Of headers ('h') a middle that no name
-    holds may stand for any character seen between the same two, and the likeliest is taken.
+    their counts must reach ``odds``, and no trigram may become rarer.  A form of strokes, and in headers ('h') any
+    character that no name holds, may stand for every character seen between the same two, or if none is for those
+    after the one before; the likeliest is taken.
     """
     win = counts.where(F.col("what") == what).select(F.col("key").alias("window"), "n")
     tri = win.groupBy(F.substring("window", 2, 3).alias("t")).agg(F.sum("n").alias("tn"))
     cand = win.select("window", F.substring("window", 3, 1).alias("x")).join(confusions, "x")
-    odd = ~F.substring("window", 3, 1).rlike(_NAME_CHARACTER)
-    if what == "h":
-        between = lambda c, k: (F.substring(c, k, 1).alias("l"), F.substring(c, k + 2, 1).alias("r"))
-        seen = tri.select(*between("t", 1), F.substring("t", 2, 1).alias("d")).where(F.col("d").rlike(_NAME_CHARACTER))
-        strange = win.where(odd).select("window", F.substring("window", 3, 1).alias("x"), *between("window", 2))
-        cand = cand.select("window", "x", "d").unionByName(strange.join(seen, ["l", "r"]).select("window", "x", "d")).distinct()
+    middle = F.substring("window", 3, 1)
+    odd = ~middle.rlike(_NAME_CHARACTER) if what == "h" else middle.isin(sorted(_STROKES - {"〇"}))
+    strange = win.where(odd).select("window", middle.alias("x"), F.substring("window", 2, 1).alias("l"), F.substring("window", 4, 1).alias("r"))
+    seen = tri.select(F.substring("t", 1, 1).alias("l"), F.substring("t", 3, 1).alias("r"), F.substring("t", 2, 1).alias("d"), "tn").where(F.col("d").rlike(_NAME_CHARACTER) & ~F.col("d").isin(sorted(_STROKES)))
+    between = strange.join(seen.select("l", "r", "d").distinct(), ["l", "r"]).select("window", "x", "d")
+    follow = seen.groupBy("l", "d").agg(F.sum("tn").alias("n")).groupBy("l").agg(F.max_by("d", F.struct("n", "d")).alias("d"))
+    alone = strange.join(between.select("window").distinct(), "window", "left_anti").join(follow, "l").select("window", "x", "d")
+    cand = cand.select("window", "x", "d").unionByName(between).unionByName(alone).distinct()
     left, mid, right = F.substring("window", 1, 2), F.substring("window", 2, 1), F.substring("window", 4, 2)
     after = F.substring("window", 4, 1)
     each = cand.select(
@@ -486,7 +509,7 @@ def misread_windows(counts: DataFrame, confusions: DataFrame, odds: float = 50.0
     counted = each.join(tri.select(F.col("t").alias("tx"), F.col("tn").alias("nx")), "tx", "left").join(tri.select(F.col("t").alias("td"), F.col("tn").alias("nd")), "td", "left")
     ratio = (F.coalesce("nd", F.lit(0)) + 0.5) / (F.coalesce("nx", F.lit(0)) + 0.5)
     judged = counted.groupBy("window", "d").agg(F.sum(F.log(ratio)).alias("gain"), F.min(ratio).alias("worst"))
-    sure = judged.where(((F.col("gain") >= F.log(F.lit(odds))) & (F.col("worst") >= 0.5)) | (odd if what == "h" else F.lit(False)))
+    sure = judged.where(((F.col("gain") >= F.log(F.lit(odds))) & (F.col("worst") >= 0.5)) | odd)
     return sure.groupBy("window").agg(F.max_by("d", F.struct("gain", "d")).alias("d"))
 
 
@@ -517,6 +540,24 @@ def printed_forms(name: str) -> str:
     return core
 
 
+def printed_word(w: str) -> str:
+    """A word of a name with a digit or mark in it, that set back by one confusion pair, if that makes it a name."""
+    if not re.search(r"[0-9!|($@€£]", w):
+        return w
+    low = _name_key(w)
+    for i, c in enumerate(low):
+        for read, printed in _BY_FIRST.get(c, ()) if not c.isalpha() else ():
+            fixed = low[:i] + printed + low[i + len(read) :]
+            if low.startswith(read, i) and _ROMAJI.fullmatch(fixed.replace("-", "").replace("'", "")):
+                return fixed.capitalize() + w[len(low) :]
+    return w
+
+
+def printed_name(name: str) -> str:
+    """The name in an entry's header as its characters tell by the table of confusions alone."""
+    return printed_forms(name) if _is_native(name) else " ".join(map(printed_word, name.split()))
+
+
 def name_windows(name: str) -> list[str]:
     s = unspaced([printed_forms(name)])
     return [s[i - 2 : i + 3] for i in range(2, len(s) - 2)]
@@ -549,79 +590,54 @@ def header_name(name: str, headers: list[str], page: int | None) -> tuple[str, s
     return rest, kinds
 
 
-def header_kinds(name: str, headers: list[str], page: int | None) -> set[str]:
-    """Kinds of noise that the header of an entry, which is a person's name, shows by itself."""
-    rest, kinds = header_name(name, headers, page)
-    if not rest:
-        return kinds
-    if _is_native(rest):
-        core = re.sub(r"[\s　・]", "", rest)
-        odd = any((not _CJK.match(c) and c != "々" and not "ァ" <= c <= "ヶ" and not "ぁ" <= c <= "ん" and not c == "ー") or c in _STROKES for c in core)
-        if odd or _lone_kana(core):
-            kinds.add(CHAR)
-    else:
-        for w in rest.split():
-            if not re.fullmatch(r"[A-Z][a-z]*(?:[-'][A-Za-z][a-z]*)?\.?", w) or not _ROMAJI.fullmatch(w.rstrip(".").replace("-", "").replace("'", "")):
-                kinds.add(CHAR)
-    return kinds
-
-
 _PLAIN = re.compile("[㐀-鿿々ァ-ヶぁ-んー]")
 _HITS = "segment_id bigint, text_field string, what string, a string, b string"
 
 
-def _read_fields(segments: DataFrame, skip: frozenset[str], middles: frozenset[str]) -> DataFrame:
-    """(segment_id, text_field, what, a, b): noise found outright ('kind'), and words, divided words and windows to look up."""
+def _is_stroke(s: str, i: int) -> bool:
+    """True for a form of strokes in running unspaced text."""
+    return s[i] in _STROKES and s[i] != "〇" and bool(_CJK.match(s[i - 1]) or _CJK.match(s[i + 1]))
+
+
+def _read_fields(texts: DataFrame, skip: frozenset[str], middles: frozenset[str]) -> DataFrame:
+    """(segment_id, text_field, what, a, b): words, divided words and windows of the ``stripped`` texts to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: set[tuple] = set()
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for sid, headers, shift, page, body, head, content in zip(*cols):
-                scan = page_of(page)
-                expect = scan - shift if scan is not None and shift is not None else None
-                heads = headers or []
-                if head and head.strip():
-                    out |= {(sid, "header_ocr", "kind", k, None) for k in header_kinds(head, heads, expect)}
-                    name, _ = header_name(head, heads, expect)
-                    if _is_native(name):
-                        out |= {(sid, "header_ocr", "name window", win, None) for win in name_windows(name) if win[2] in middles or win[2] in _STROKES or not _PLAIN.match(win[2])}
+            for sid, field, native, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if field == "header_ocr":
+                    if printed_name(text) != (re.sub(r"[\s　・]", "", text) if native else " ".join(text.split())):
+                        out.add((sid, field, "form", CHAR, None))
+                    if native:
+                        out |= {(sid, field, "name window", win, None) for win in name_windows(text) if win[2] in middles or win[2] in _STROKES or not _PLAIN.match(win[2])}
                     else:
-                        out |= {(sid, "header_ocr", "name", _name_key(w), None) for w in name.split()}
-                for field, text in (("body_text", body), ("text_content", content)):
-                    if not text:
-                        continue
-                    lines, kinds = strip_marks(text, heads, expect)
-                    out |= {(sid, field, "kind", k, None) for k in kinds}
-                    if _is_unspaced(text):
-                        s = unspaced(lines)
-                        for i in range(2, len(s) - 2):
-                            if s[i] in middles:
-                                out.add((sid, field, "window", s[i - 2 : i + 3], None))
-                            elif s[i] in _STROKES and s[i] != "〇" and (_CJK.match(s[i - 1]) or _CJK.match(s[i + 1])):
-                                out.add((sid, field, "kind", CHAR, None))
-                    else:
-                        words, divided = latin_words(lines)
-                        for _, w in words:
-                            if _is_name(w):
-                                continue
-                            if w[:1].isupper() and re.search(r"[0-9!|($@]", w) and re.search(r"[a-z]", w):
-                                out.add((sid, field, "kind", CHAR, None))
-                            if w.lower() not in skip:
-                                out.add((sid, field, "word", w.lower(), w))
-                        for a, b in divided:
-                            out.add((sid, field, "divided", a.lower(), b.lower()))
-                            joined = a + b
-                            if not _is_name(joined):
-                                out.add((sid, field, "word", joined.lower(), joined))
-                                out.add((sid, field, "word", (a + "-" + b).lower(), None))
+                        out |= {(sid, field, "name", _name_key(w), None) for w in text.split()}
+                elif native:
+                    s = unspaced(text.split("\n"))
+                    out |= {(sid, field, "window", s[i - 2 : i + 3], None) for i in range(2, len(s) - 2) if s[i] in middles or _is_stroke(s, i)}
+                else:
+                    words, divided = latin_words(text.split("\n"))
+                    for _, w in words:
+                        if _is_name(w):
+                            continue
+                        if w[:1].isupper() and re.search(r"[0-9!|($@]", w) and re.search(r"[a-z]", w):
+                            out.add((sid, field, "name", _name_key(w), None))
+                        if w.lower() not in skip:
+                            out.add((sid, field, "word", w.lower(), w))
+                    for a, b in divided:
+                        out.add((sid, field, "divided", a.lower(), b.lower()))
+                        joined = a + b
+                        if not _is_name(joined):
+                            out.add((sid, field, "word", joined.lower(), joined))
+                            out.add((sid, field, "word", (a + "-" + b).lower(), None))
             rows = list(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[j] for r in rows], pa.string()) for j in range(1, 5)],
                 names=["segment_id", "text_field", "what", "a", "b"],
             )
 
-    return segments.select("segment_id", "headers", "page_shift", "source_page", "body_text", "header_ocr", "text_content").mapInArrow(run, _HITS)
+    return texts.select("segment_id", "text_field", "unspaced", "lines").mapInArrow(run, _HITS)
 
 
 class NoiseModel:
@@ -632,10 +648,11 @@ class NoiseModel:
         self.volumes = materialize(volume_model(segments), "volumes")
         # a volume's model has twenty headers of sixty characters at most; a table of too many volumes is joined by key
         if self.volumes.count() <= BROADCAST_VOLUMES:
-            self.segments = segments.join(F.broadcast(self.volumes), "volume", "left")
+            segments = segments.join(F.broadcast(self.volumes), "volume", "left")
         else:
-            self.segments = skew_lookup(segments, self.volumes, "volume", "left")
-        self.counts = materialize(corpus_counts(self.segments), "ocr-counts")
+            segments = skew_lookup(segments, self.volumes, "volume", "left")
+        self.texts = materialize(stripped(segments), "stripped")
+        self.counts = materialize(corpus_counts(self.texts), "ocr-counts")
         self.repairs = materialize(word_repairs(self.counts), "word-repairs")
         confusions = materialize(character_confusions(self.counts), "confusions")
         self.windows = materialize(misread_windows(self.counts, confusions), "windows")
@@ -647,7 +664,7 @@ class NoiseModel:
         words = self.counts.where("what = 'w'").select(F.col("key").alias("read"), "n")
         common = words.join(self.repairs, "read", "left_anti").orderBy(F.col("n").desc(), "read").limit(COMMON_WORDS)
         self.common = frozenset(r["read"] for r in common.select("read").collect())
-        self.hits = materialize(_read_fields(self.segments, self.common, self.middles), "ocr-hits")
+        self.hits = materialize(_read_fields(self.texts, self.common, self.middles), "ocr-hits")
 
 
 def divided_words(model: NoiseModel) -> DataFrame:
@@ -669,7 +686,9 @@ def noise_found(segments: DataFrame) -> DataFrame:
     """
     model = NoiseModel(segments)
     hits = model.hits
-    out = hits.where("what = 'kind'").select("segment_id", "text_field", F.col("a").alias("noise_kind"))
+    out = model.texts.select("segment_id", "text_field", F.explode("kinds").alias("noise_kind"))
+    # a form of strokes has its printed character in the table of confusions
+    out = out.unionByName(hits.where("what = 'form'").select("segment_id", "text_field", F.col("a").alias("noise_kind")))
     words = hits.where("what = 'word'").join(model.repairs.select(F.col("read").alias("a")), "a", "left_semi")
     wins = hits.where("what = 'window'").join(model.windows.select(F.col("window").alias("a")), "a", "left_semi")
     parts = hits.where("what = 'divided'").join(divided_words(model).where("written = 'joined'").select("a", "b"), ["a", "b"], "left_semi")
@@ -680,10 +699,9 @@ def noise_found(segments: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def repair_text(text: str, headers: list[str], page: int | None, words: dict[str, str], windows: dict[str, str], hyphened: set[tuple[str, str]]) -> str:
-    """One continuous paragraph: marks out, divided words joined, misread words and characters replaced."""
-    lines, _ = strip_marks(text, headers, page)
-    if _is_unspaced(text):
+def repair_text(lines: list[str], native: bool, words: dict[str, str], windows: dict[str, str], hyphened: set[tuple[str, str]]) -> str:
+    """One continuous paragraph of ``stripped`` lines: divided words joined, misread words and characters replaced."""
+    if native:
         s = unspaced(lines)
         return "".join(windows.get(s[i - 2 : i + 3], s[i]) for i in range(2, len(s) - 2))
     tokens = [t for line in lines for t in [*line.split(), "\n"]]
@@ -714,15 +732,15 @@ def repair_text(text: str, headers: list[str], page: int | None, words: dict[str
     return " ".join(out)
 
 
-def repair_header(name: str, headers: list[str], page: int | None, words: dict[str, str], windows: dict[str, str]) -> str:
-    """The name in an entry's header: page number and running header out, misread words and characters replaced."""
-    rest, _ = header_name(name, headers, page)
+def repair_header(rest: str, words: dict[str, str], windows: dict[str, str]) -> str:
+    """The name in an entry's ``stripped`` header, misread words and characters replaced."""
     if _is_native(rest):
         return "".join(windows.get(win, win[2]) for win in name_windows(rest))
     out = []
     for w in rest.split():
         key = _name_key(w)
         fix = words.get(key)
+        w = printed_word(w) if fix is None else w
         out.append(w if fix is None else (fix.upper() if w.isupper() else "-".join(p.capitalize() for p in fix.split("-"))) + w[len(key) :])
     return " ".join(out)
 
@@ -740,25 +758,19 @@ def repaired(segments: DataFrame) -> DataFrame:
     n = hits.where("what = 'name'").join(model.names.withColumnRenamed("read", "a"), "a").select("segment_id", F.lit("n").alias("t"), F.col("a").alias("x"), F.col("word").alias("y"))
     nj = hits.where("what = 'name window'").join(model.name_windows.withColumnRenamed("window", "a"), "a").select("segment_id", F.lit("nj").alias("t"), F.col("a").alias("x"), F.col("d").alias("y"))
     fixes = w.unionByName(j).unionByName(h).unionByName(n).unionByName(nj).groupBy("segment_id").agg(F.collect_set(F.struct("t", "x", "y")).alias("fixes"))
-    src = model.segments.join(fixes, "segment_id", "left").select("segment_id", "headers", "page_shift", "source_page", "body_text", "text_content", "header_ocr", "fixes")
+    src = model.texts.select("segment_id", "text_field", "unspaced", "lines").join(fixes, "segment_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                scan = page_of(r["source_page"])
-                page = scan - r["page_shift"] if scan is not None and r["page_shift"] is not None else None
-                fixes = r["fixes"] or []
-                words = {f["x"]: f["y"] for f in fixes if f["t"] == "w"}
-                windows = {f["x"]: f["y"] for f in fixes if f["t"] == "j"}
-                hyphened = {(f["x"], f["y"]) for f in fixes if f["t"] == "h"}
-                if r["header_ocr"] is not None:
-                    names = {f["x"]: f["y"] for f in fixes if f["t"] == "n"}
-                    name_wins = {f["x"]: f["y"] for f in fixes if f["t"] == "nj"}
-                    rows.append((r["segment_id"], "header_ocr", repair_header(r["header_ocr"], r["headers"] or [], page, names, name_wins)))
-                for field in ("body_text", "text_content"):
-                    if r[field] is not None:
-                        rows.append((r["segment_id"], field, repair_text(r[field], r["headers"] or [], page, words, windows, hyphened)))
+                of = lambda t: {f["x"]: f["y"] for f in r["fixes"] or [] if f["t"] == t}  # noqa: B023, E731
+                if r["text_field"] == "header_ocr":
+                    text = repair_header(r["lines"], of("n"), of("nj"))
+                else:
+                    hyphened = {(f["x"], f["y"]) for f in r["fixes"] or [] if f["t"] == "h"}
+                    text = repair_text(r["lines"].split("\n"), r["unspaced"], of("n") | of("w"), of("j"), hyphened)
+                rows.append((r["segment_id"], r["text_field"], text))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())], names=["segment_id", "text_field", "repaired_text"])
 
     return src.mapInArrow(run, "segment_id bigint, text_field string, repaired_text string")
