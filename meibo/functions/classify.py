@@ -62,24 +62,116 @@ def family_birth_year(year: Column, subject: Column, relation: Column, gap: int
     return F.when(~(known & bad), year)
 
 
+# Fixed values: (display order, pattern) of relations; the first that fits counts, nothing fits 9.
+RELATION_ORDERS = [
+    (0, "祖先|先祖|遠祖|元祖|高祖|玄祖|曾祖|祖父|祖母|先代|先々"),
+    (0, "^祖$"),
+    (2, "伯父|伯母|叔父|叔母|舅|姑父|姑母|姑"),
+    (1, "父|母"),
+    (4, "妻|夫$|夫人|夫君|婿|嫁"),
+    (6, "従兄|従弟|従姉|従妹|從兄|從弟|從姉|從妹"),
+    (3, "兄|姉|弟|妹"),
+    (5, "子|男|女|嗣|娘"),
+    (7, "甥|姪"),
+    (8, "孫|曾孫|玄孫"),
+]
+# Fixed values: (tier, pattern, pattern that excludes it) of schools by name; nothing fits 3.
+EDUCATION_TIERS = [
+    (1, "小学|小學|尋常|Elementary School|Primary School", None),
+    (2, "中学|中學|中等|Middle School", "大学|大學"),
+    (3, "高等学校|高等學校|高校|高等女|師範|予科|予備|High School|Normal School|Preparatory", "大学|大學"),
+    (4, "大学|大學|専門|專門|College|University", None),
+    (5, "大学院|研究科|Graduate", None),
+]
+# Picker category of a religion by what it belongs to and its school.
+RELIGION_CATEGORIES = [
+    ("Buddhism", "Pure Land", "pureland"), ("Buddhism", "Zen", "zen"), ("Buddhism", "Nichiren", "nichiren"), ("Buddhism", None, "buddhism"),
+    ("Shintō", None, "shinto"), ("Christianity", None, "christianity"), ("Confucianism", None, "confucianism"), ("Tenrikyō", None, "tenrikyo"),
+]
+# Sections of economic activity and the short names shown for some.
+ISIC_LABELS = {
+    "A": "Agriculture, forestry and fishing", "B": "Mining and quarrying", "C": "Manufacturing", "D": "Electricity, gas, steam and air conditioning supply",
+    "E": "Water supply; sewerage, waste management and remediation activities", "F": "Construction", "G": "Wholesale and retail trade; repair of motor vehicles and motorcycles",
+    "H": "Transportation and storage", "I": "Accommodation and food service activities", "J": "Information and communication", "K": "Financial and insurance activities",
+    "L": "Real estate activities", "M": "Professional, scientific and technical activities", "N": "Administrative and support service activities",
+    "O": "Public administration and defence; compulsory social security", "P": "Education", "Q": "Human health and social work activities",
+    "R": "Arts, entertainment and recreation", "S": "Other service activities", "T": "Activities of households as employers", "U": "Activities of extraterritorial organizations and bodies",
+}
+ISIC_SHORT = {
+    "D": "Electricity, gas, steam and AC", "E": "Water and waste management", "G": "Wholesale and retail trade", "I": "Accommodation and food", "K": "Financial and insurance",
+    "L": "Real estate", "M": "Professional, scientific, technical", "N": "Administrative and support", "O": "Public administration and defence", "Q": "Health and social work",
+    "S": "Other services", "T": "Households as employers", "U": "Extraterritorial organizations",
+}
+# Major groups of occupations by first digit.
+HISCO_MAJORS = {
+    "0": "Professional/Technical", "1": "Professional/Technical", "2": "Administrative/Managerial", "3": "Clerical", "4": "Sales",
+    "5": "Service", "6": "Agricultural/Forestry/Fishing", "7": "Production/Transport", "8": "Production/Transport", "9": "Production/Transport",
+}
+# Provinces of the derived region mk.
+MK_PROVINCES = ("Heilongjiang", "Jilin", "Liaoning", "Jehol")
+
+
+def _holds(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.rlike(pattern), F.lit(False))
+
+
 def relation_order(relation: Column) -> Column:
-    """Ten display classes of relations, parents first."""
-    classes = ["祖父|祖母", "^(?:実|實|養|義)?父|^(?:実|實|養|義)?母", "妻|夫", "長男|長女", "二男|二女|次男|次女", "三男|三女", "男$|女$", "養子|婿", "兄|弟|姉|妹"]
-    out = F.lit(10)
-    for k, pattern in reversed(list(enumerate(classes, 1))):
-        out = F.when(relation.rlike(pattern), k).otherwise(out)
-    return out
+    """Display order of a relation, as (order, order2, order3): class, then 長 and 次, then the numeral; null has none of them."""
+    out = F.lit(9)
+    for k, pattern in reversed(RELATION_ORDERS):
+        out = F.when(_holds(relation, pattern), k).otherwise(out)
+    second = F.when(_holds(relation, "次"), 2).when(_holds(relation, "長"), 1).otherwise(3)
+    third = F.lit(6)
+    for k, numeral in enumerate("一二三四五", 1):
+        third = F.when(_holds(relation, numeral), k).otherwise(third)
+    return F.struct(out.alias("order1"), second.alias("order2"), third.alias("order3"))
 
 
 def education_tier(name: Column) -> Column:
-    """The level of a school by its name."""
-    return (
-        F.when(name.rlike("(?i)大學|大学|university|imperial"), "university")
-        .when(name.rlike("(?i)高等|師範|normal|higher|college"), "higher")
-        .when(name.rlike("(?i)中學|中学|商業|工業|農林|middle|commercial|technical|agricultural|high school"), "secondary")
-        .when(name.rlike("(?i)學校|学校|school"), "school")
-        .otherwise("other")
-    )
+    """The tier of a school by its name, 1 (primary) to 5 (graduate); unknown and null names are in the middle."""
+    out = F.lit(3)
+    for tier, pattern, but in reversed(EDUCATION_TIERS):
+        fits = _holds(name, f"(?i){pattern}")
+        out = F.when(fits & ~_holds(name, but) if but else fits, tier).otherwise(out)
+    return out
+
+
+def religion_category(belongs_to: Column, school: Column) -> Column:
+    """The category a religion is picked under; none for one that belongs to nothing."""
+    out = F.lit("other")
+    for whole, part, category in reversed(RELIGION_CATEGORIES):
+        fits = belongs_to == whole
+        out = F.when(fits & F.coalesce(school == part, F.lit(False)) if part else fits, category).otherwise(out)
+    return F.when(belongs_to.isNotNull() & (belongs_to != ""), out)
+
+
+def _mapped(key: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def isic_label(section: Column) -> Column:
+    """The label shown for a section of economic activity: its short name if it has one."""
+    return F.coalesce(_mapped(section, ISIC_SHORT), _mapped(section, ISIC_LABELS))
+
+
+def hisco_minor(code: Column) -> Column:
+    """An occupation code as typed, in its two-digit form: float endings cut, a lost zero set before, five digits shortened; other text stays."""
+    s = F.trim(F.coalesce(code.cast("string"), F.lit("")))
+    s = F.when(s.contains("."), F.coalesce(s.try_cast("double").cast("bigint").cast("string"), s)).otherwise(s)
+    return F.when(s.rlike("^[0-9]+$"), F.substring(F.when(F.length(s) < 2, F.lpad(s, 2, "0")).otherwise(s), 1, 2)).otherwise(s)
+
+
+def hisco_major_label(major: Column) -> Column:
+    """The label of an occupation's major group."""
+    return _mapped(major, HISCO_MAJORS)
+
+
+def in_regions(country: Column, province: Column, chosen: list[str], mk: tuple[str, ...] = MK_PROVINCES) -> Column:
+    """True for a place in one of the chosen countries, ``mk`` being the region made of four provinces; every choice at once is no restriction."""
+    if set(chosen) == {"ja", "zh", "kr", "tw", "mk"} or not chosen:
+        return F.lit(True)
+    out = F.coalesce(country.isin(*[c for c in chosen if c != "mk"]), F.lit(False)) if set(chosen) - {"mk"} else F.lit(False)
+    return out | F.coalesce(province.isin(*mk), F.lit(False)) if "mk" in chosen else out
 
 
 def is_generic_org(name: Column) -> Column:

@@ -46,13 +46,13 @@ def skew_lookup(
 ) -> DataFrame:
     """``big`` joined to ``small`` (unique on ``key``) where a few keys may hold a third of ``big``.
 
-    Rows of hot keys are spread over ``salts`` groups and only the hot rows of ``small`` are repeated.
+    Rows of hot keys are spread over ``salts`` groups by a digest of the row, the same when a task is run again, and only the hot rows of ``small`` are repeated.
     Both sides are hash-partitioned, sorted and merged; no side is broadcast by force.
     """
     hot = hot_keys(big, key, least=least) if hot is None else hot
     if not hot:
         return big.join(small.hint("merge"), key, how)
     is_hot = F.col(key).isin(hot)
-    left = big.withColumn("_salt", F.when(is_hot, F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0)))
+    left = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     right = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")

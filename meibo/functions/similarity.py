@@ -92,8 +92,9 @@ def error_rate(read: Column | str, gold: Column | str) -> Column:
 
 
 def is_variant(a: Column, b: Column) -> Column:
-    """True if one name begins with the other or both end in the same character."""
-    return a.startswith(b) | b.startswith(a) | (F.substring(a, -1, 1) == F.substring(b, -1, 1))
+    """True if one name begins with the other, or both are as long and alike but for the last character."""
+    last = (F.length(a) == F.length(b)) & (F.length(a) >= 2) & (F.substring(a, F.lit(1), F.length(a) - 1) == F.substring(b, F.lit(1), F.length(b) - 1))
+    return a.startswith(b) | b.startswith(a) | last
 
 
 def either_contains(a: Column, b: Column) -> Column:

@@ -49,6 +49,35 @@ def place_restriction(location: Column, chosen: Sequence[str] | None) -> Column:
     return F.lit(True) if chosen is None else F.coalesce(location.isin(*chosen), F.lit(False))
 
 
+def industry_filter(jobs: DataFrame, organisations: DataFrame, key: str, section: str, chosen: Sequence[str] | None) -> DataFrame:
+    """Jobs at organisations of the chosen sections of economic activity; without a choice all, also those without one."""
+    if chosen is None:
+        return jobs
+    kept = organisations.where(F.col(section).isin(*chosen)).select(key).distinct()
+    return jobs.join(kept, key, "left_semi")
+
+
+def headline_counts(persons: DataFrame, children: dict[str, DataFrame], jobs: DataFrame, organisations: DataFrame, locations: DataFrame, latin: str, year: str, least: int = 1845, most: int = 1945) -> DataFrame:
+    """(metric, value): what is shown before any filter is touched.
+
+    ``persons`` (person_id, location_id, the two gate columns), ``children`` by name and ``jobs`` hold person_id; organisations
+    count if a shown job names them and they have a name, locations if a shown person, job or organisation does.
+    """
+    shown = persons.where(default_gate(F.col(latin), F.col(year), least, most))
+    ids = shown.select("person_id").distinct()
+    own = jobs.join(ids, "person_id", "left_semi")
+    orgs = organisations.where(F.trim(F.coalesce("name", F.lit(""))) != "").join(own.select("organization_id").where("organization_id is not null").distinct(), "organization_id", "left_semi")
+    named = shown.select("location_id").unionByName(own.select("location_id")).unionByName(orgs.select("location_id")).where("location_id is not null").distinct()
+    count = lambda metric, df: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(metric).alias("metric"), "value")
+    rows = [("persons", persons), ("persons shown", shown), ("jobs", own), *((k, df.join(ids, "person_id", "left_semi")) for k, df in children.items())]
+    rows += [("organisations linked", orgs), ("locations referenced", locations.join(named, "location_id", "left_semi"))]
+    rows += [("excluded: name", persons.where(F.length(F.coalesce(latin, F.lit(""))) < 2)), ("excluded: birth year", persons.where(~birth_gate(F.col(year), least, most)))]
+    out = count(*rows[0])
+    for r in rows[1:]:
+        out = out.unionByName(count(*r))
+    return out
+
+
 def id_filter(text: str) -> tuple[str, str] | None:
     """(kind, id) of a typed id such as P12, O7 or L3."""
     kinds = {"P": "person", "O": "organization", "L": "location"}
@@ -60,6 +89,11 @@ def birth_gate(year: Column, least: int = 1845, most: int = 1945) -> Column:
     return year.isNull() | year.between(least, most)
 
 
+def default_gate(latin: Column, year: Column, least: int = 1845, most: int = 1945) -> Column:
+    """True for the persons shown at first: a romanised family name of two letters or more, a birth year in the range or none."""
+    return (F.length(F.coalesce(latin, F.lit(""))) >= 2) & birth_gate(year, least, most)
+
+
 def any_known(columns: Sequence[Column]) -> Column:
     """True where one of the columns is not null."""
     return F.coalesce(*[c.cast("string") for c in columns]).isNotNull()

@@ -65,9 +65,13 @@ def family_names(relatives: DataFrame, name: str, surnames: DataFrame, surname:
     return hit.select(name, F.col("_entry").alias("family"), F.expr(f"substring({name}, length(_entry) + 1)").alias("given"))
 
 
+# Fixed value: letters that only pinyin has, not the romanisation of Japanese.
+PINYIN_ONLY = r"(?i)(?:zh|(?<![aeiouns])x[aeiou]|(?<![aeiou])q[iuü]|(?<![aeiou])c[aeiou](?!h))"
+
+
 def wrong_romanisation(latin: Column) -> Column:
     """True for a romanised Japanese name that holds syllables only pinyin has."""
-    return F.coalesce(latin.rlike("(?i)(?:^|[^a-z])(?:zh|x[iu]|q[iu]|.*(?:iang|uang|iong|ian|uan)(?:$|[^a-z]))"), F.lit(False))
+    return F.coalesce(latin.rlike(PINYIN_ONLY), F.lit(False))
 
 
 def pick_answer(text: str | None, name: str | None) -> dict | None:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meibo.functions.keys import hot_keys, skew_lookup
 from meibo.session import materialize, release
 
 MAX_PERSONS, MAX_NODES = 2000, 4000
@@ -28,12 +29,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable, by min-label propagation with pointer jumping.
 
-    Labels meet edges on the node; the minimum is combined before the shuffle.  Only a Boolean reaches the driver.
+    Labels meet edges on the node, those of hot nodes spread; the minimum is combined before the shuffle.  Only a
+    Boolean and the hot nodes reach the driver.  Labels that still move after ``most`` rounds are an error.
     """
     both = materialize(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).where("u <> v").distinct(), "edges")
     label = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("c")), "labels")
+    hot = hot_keys(both, "u")
     for _ in range(most):
-        heard = both.join(label.select(F.col("node").alias("u"), "c"), "u").select(F.col("v").alias("node"), "c")
+        heard = skew_lookup(both, label.select(F.col("node").alias("u"), "c"), "u", "inner", hot=hot).select(F.col("v").alias("node"), "c")
         low = label.select("node", "c").unionByName(heard).groupBy("node").agg(F.min("c").alias("c"))
         jump = low.join(low.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c"))
         nxt = materialize(jump.join(label.select("node", F.col("c").alias("was")), "node").withColumn("moved", F.col("c") < F.col("was")).drop("was"), "labels")
@@ -41,8 +44,8 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         release(label)
         label = nxt.drop("moved")
         if not moved:
-            break
-    return label.select("node", F.col("c").alias("component"))
+            return label.select("node", F.col("c").alias("component"))
+    raise RuntimeError(f"labels still move after {most} rounds")
 
 
 def large_components(parts: DataFrame, share: float = 0.05) -> DataFrame:

@@ -27,9 +27,16 @@ def longest_prefix_join(texts: DataFrame, text: str, dictionary: DataFrame, entr
     return each.join(words, "_entry").groupBy(text).agg(F.max_by("_entry", F.length("_entry")).alias("_entry"))
 
 
-def name_hierarchy(orgs: DataFrame, id_col: str, name: str, skip: Sequence[str] = ()) -> DataFrame:
-    """(child_id, parent_id, child_name, parent_name): each name's longest proper prefix that is a name itself, with two characters or more left."""
-    parents = orgs.where(~F.col(name).isin(*skip)) if skip else orgs
+def name_hierarchy(orgs: DataFrame, id_col: str, name: str, skip: Sequence[str] = (), places: DataFrame | None = None) -> DataFrame:
+    """(child_id, parent_id, child_name, parent_name): each name's longest proper prefix that is a name itself, with two characters or more left.
+
+    No parent is a name whose Chinese characters are in ``skip`` or are the name of one of ``places`` (column ``name``).
+    """
+    cjk = F.regexp_replace(name, "[^\u4e00-\u9fff]", "")
+    parents = orgs.where(~cjk.isin(*skip)) if skip else orgs
+    if places is not None:
+        known = places.select(F.col("name").alias("_place")).where(F.col("_place").isNotNull()).distinct()
+        parents = parents.withColumn("_place", cjk).join(known, "_place", "left_anti").drop("_place")
     hit = longest_prefix_join(orgs.where(F.length(name) >= 4), name, parents, name, 2, proper=True, rest=2)
     holder = orgs.groupBy(F.col(name).alias("_entry")).agg(F.min(id_col).alias("parent_id"))
     kids = orgs.select(F.col(id_col).alias("child_id"), name).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meibo.functions.keys import skew_lookup
 from meibo.functions.similarity import jaro_winkler, jaro_winkler_bound
 from meibo.functions.text import fold_col
+from meibo.operators.network import components
 from meibo.operators.setsim import similar_sets
 from meibo.session import materialize, release
 
@@ -119,44 +120,65 @@ def remap(df: DataFrame, column: str, mapping: DataFrame, old: str = "old_id", n
     return joined.withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def close_remap(mapping: DataFrame, old: str = "old_id", new: str = "new_id", most: int = 40) -> DataFrame:
+def close_remap(mapping: DataFrame, old: str = "old_id", new: str = "new_id") -> DataFrame:
     """The mapping followed to its ends by pointer doubling: chains of length n close in log2 n rounds.
 
-    Only the number of changed rows reaches the driver.  Entries on a cycle are resolved to the cycle's smallest id.
+    Only numbers of rows reach the driver.  What leads to a cycle, which has no end, is resolved to the cycle's smallest id.
     """
-    cur = materialize(mapping.select(F.col(old).alias("o"), F.col(new).alias("n")).where("o is not null and n is not null and o <> n").dropDuplicates(["o"]), "remap")
-    for _ in range(most):
-        step = cur.alias("a").join(cur.select(F.col("o").alias("n"), F.col("n").alias("nn")), "n", "left").select("o", F.when(F.col("nn") == F.col("o"), F.least("o", "n")).otherwise(F.coalesce("nn", "n")).alias("n"), (F.col("nn").isNotNull() & (F.col("nn") != F.col("n"))).alias("moved"))
-        nxt = materialize(step, "remap")
+    given = materialize(mapping.select(F.col(old).alias("o"), F.col(new).alias("n")).where("o is not null and n is not null and o <> n").dropDuplicates(["o"]), "remap")
+    cur, moved = given, 0
+    # so many doublings pass every entry: what still has a next one then is on a cycle
+    for _ in range(given.count().bit_length() + 1):
+        ahead = cur.select(F.col("o").alias("n"), F.col("n").alias("nn"))
+        nxt = materialize(cur.join(ahead, "n", "left").select("o", F.coalesce("nn", "n").alias("n"), F.col("nn").isNotNull().alias("moved")), "remap")
         moved = nxt.where("moved").limit(1).count()
-        release(cur)
+        if cur is not given:
+            release(cur)
         cur = nxt
         if not moved:
             break
         cur = cur.drop("moved")
-    return cur.select(F.col("o").alias(old), F.col("n").alias(new))
+    out = cur.select("o", "n")
+    if moved:
+        looped = materialize(out.join(out.select(F.col("o").alias("n")), "n", "left_semi").select("o", "n"), "cycles")
+        part = components(given.join(looped.select("o"), "o", "left_semi").select(F.col("o").alias("src"), F.col("n").alias("dst"))).select(F.col("node").alias("o"), "component")
+        least = looped.join(part, "o").groupBy("component").agg(F.min("n").alias("least"))
+        ends = part.join(least, "component").select("o", "least")
+        out = out.join(ends, "o", "left").select("o", F.coalesce("least", "n").alias("n"))
+    return out.select(F.col("o").alias(old), F.col("n").alias(new))
 
 
 def parent_depth(df: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(child, depth, top): steps to the topmost known ancestor by pointer doubling; a cycle stops at ``most``."""
-    cur = materialize(df.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null").dropDuplicates(["c"]).select("c", F.when(F.col("p") != F.col("c"), F.col("p")).alias("p"), F.when((F.col("p") != F.col("c")) & F.col("p").isNotNull(), 1).otherwise(0).alias("d")), "depth")
-    reach = 1
-    while reach < most:
-        up = cur.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))
-        nxt = materialize(cur.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.col("d") + F.when(F.col("pp").isNotNull(), F.col("dd")).otherwise(0)).alias("d"), F.col("pp").isNotNull().alias("moved")), "depth")
+    """(child, depth, top): steps to the topmost known ancestor by pointer doubling, however long the chain.
+
+    What leads to a cycle has no top: its depth is ``most`` and its ``top`` null.
+    """
+    known = df.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null").dropDuplicates(["c"])
+    up = known.where("p is not null and p <> c")
+    cur = materialize(known.join(up.withColumnRenamed("p", "_p"), "c", "left").select("c", F.col("_p").alias("p"), F.when(F.col("_p").isNotNull(), 1).otherwise(0).cast("bigint").alias("d"), F.lit(False).alias("moved")), "depth")
+    for _ in range(cur.count().bit_length() + 1):
+        above = cur.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))
+        nxt = materialize(cur.join(above, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.col("d") + F.when(F.col("pp").isNotNull(), F.col("dd")).otherwise(0)).alias("d"), F.col("pp").isNotNull().alias("moved")), "depth")
         moved = nxt.where("moved").limit(1).count()
         release(cur)
-        cur = nxt.drop("moved")
-        reach *= 2
+        cur = nxt
         if not moved:
             break
-    return cur.select(F.col("c").alias(child), F.least(F.col("d"), F.lit(most)).cast("int").alias("depth"), F.coalesce("p", "c").alias("top"))
+    return cur.select(F.col("c").alias(child), F.when(F.col("moved"), F.lit(most)).otherwise(F.col("d")).cast("int").alias("depth"), F.when(~F.col("moved"), F.coalesce("p", "c")).alias("top"))
+
 
+def merge_last_non_null(df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], agreeing: Sequence[str] = (), on: str | None = None) -> DataFrame:
+    """One row per key: of each column the last value that is not null, in the given order.
 
-def merge_last_non_null(df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per key: of each column the last value that is not null, in the given order."""
+    ``agreeing`` columns take only values of rows whose ``on`` is that of the key's first row (a null is one of its own).
+    """
     at = F.struct(*order)
-    return df.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
+    last = lambda c, ok: F.max_by(c, F.when(F.col(c).isNotNull() & ok, at)).alias(c)
+    if not agreeing:
+        return df.groupBy(*key).agg(*[last(c, F.lit(True)) for c in columns])
+    first = df.groupBy(*key).agg(F.min_by(F.struct(on), at).alias("_on"))
+    same = F.col(on).eqNullSafe(F.col("_on")[on])
+    return df.join(first, list(key)).groupBy(*key).agg(*[last(c, F.lit(True)) for c in columns], *[last(c, same) for c in agreeing])
 
 
 def fold_provenance(df: DataFrame, key: Sequence[str], order: Sequence[str], lists: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -195,12 +217,12 @@ CORPORATE_SUFFIXES = ("株式會社", "株式会社", "株式", "株")
 
 
 def suffix_merges(orgs: DataFrame, id_col: str, name: str) -> DataFrame:
-    """(old_id, new_id): organisations that equal another one's name once a corporate ending is cut off, after folding."""
+    """(old_id, new_id): organisations that equal another one's name once a corporate ending is cut off, after folding; chains of endings are closed."""
     norm = fold_col(name)
     base = F.coalesce(*[F.when(norm.endswith(s) & (F.length(norm) > len(s)), F.substring(norm, F.lit(1), F.length(norm) - len(s))) for s in CORPORATE_SUFFIXES])
     rows = orgs.select(F.col(id_col).alias("old_id"), norm.alias("norm"), base.alias("base"))
     holders = rows.groupBy(F.col("norm").alias("base")).agg(F.min("old_id").alias("new_id"))
-    return rows.where("base is not null").join(holders, "base").where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    return close_remap(rows.where("base is not null").join(holders, "base").where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id")))
 
 
 def ordered_row_number(df: DataFrame, within: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -54,15 +54,12 @@ def child_row_numbering(spark: SparkSession, d: str) -> DataFrame:
     return R.ordered_row_number(m, ["person_id"], ["member_id"], "number").select("member_id", "person_id", F.concat(F.lit("R"), F.col("number").cast("string")).alias("relation_no"))
 
 
-def _rank() -> Column:
-    r = F.col("relation")
-    return F.when(r.rlike("^[長一]"), 1).when(r.rlike("^[二次]"), 2).when(r.rlike("^三"), 3).when(r.rlike("^四"), 4).when(r.rlike("^五"), 5)
-
-
 def sibling_order_check(spark: SparkSession, d: str) -> DataFrame:
-    """Children whose years contradict their ordinals, per person and sex."""
-    m = table(spark, d, "person_family_members").where(F.col("relation").rlike("^[長一二次三四五][男女]$"))
-    m = m.select("member_id", "person_id", F.substring("relation", 2, 1).alias("sex"), _rank().alias("rank"), "birth_year")
+    """Children whose years contradict their ordinals, per person and sex; the first numeral up to ten in the relation is the ordinal."""
+    m = table(spark, d, "person_family_members").where(F.col("relation").rlike("[男女]$"))
+    first = F.regexp_extract("relation", "[長一次二三四五六七八九十]", 0)
+    rank = F.when(first == "長", 1).when(first == "次", 2).when(first != "", F.position(first, F.lit("一二三四五六七八九十")))
+    m = m.select("member_id", "person_id", F.substring("relation", -1, 1).alias("sex"), rank.alias("rank"), "birth_year").where("rank is not null")
     return O.ordinal_order_conflicts(m, ["person_id", "sex"], "rank", "birth_year", ["member_id"]).select("member_id", "conflict")
 
 
@@ -102,9 +99,13 @@ def longest_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
     return P.longest_prefix_join(table(spark, d, "person_career"), "place_name", table(spark, d, "locations"), "name").select("place_name", F.col("_entry").alias("location_name"))
 
 
+# Names of regions, countries and trades that are no parent of an organisation.
+SKIP_PARENTS = "朝鮮 臺灣 台灣 横濱 九州 奉天 滿洲 満洲 米国 米國 獨逸 英國 英国 佛國 佛国 鐵道 鉄道 臨時 農商務".split()
+
+
 def org_hierarchy_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Organisations whose name continues another's."""
-    return P.name_hierarchy(table(spark, d, "organizations").select("organization_id", "name").distinct(), "organization_id", "name", ("朝鮮", "臺灣", "九州", "鐵道", "臨時"))
+    return P.name_hierarchy(table(spark, d, "organizations").select("organization_id", "name").distinct(), "organization_id", "name", SKIP_PARENTS, table(spark, d, "locations"))
 
 
 def geocode_places(spark: SparkSession, d: str) -> DataFrame:
@@ -188,9 +189,9 @@ def decade_tier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_last_non_null(spark: SparkSession, d: str) -> DataFrame:
-    """The last known scalar values of each person's relatives by name."""
+    """The last known scalar values of each person's relatives by name; the romanised name only from rows of the first one's sex."""
     m = table(spark, d, "person_family_members").where("name is not null")
-    return R.merge_last_non_null(m, ["person_id", "name"], ["member_id"], ["relation", "birth_year", "place", "gender"])
+    return R.merge_last_non_null(m, ["person_id", "name"], ["member_id"], ["relation", "birth_year", "place"], ["name_latin"], "gender")
 
 
 def dedup_fold_provenance(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +298,7 @@ SQL: dict[str, str] = {
     "enumerate_entries": "select segment_id, entry_index from (select *, row_number() over (partition by volume, source_page order by segment_id) - 1 as entry_index from segmented_output where segment_type = 'standard') where length(trim(body_text)) >= 5",
     "era_carry_forward": f"select bio_id, cast(pos as int) as pos, {base_sql('used')} + num as western from (select *, case when era = '同' then last_value(case when era <> '同' and num is not null then era end ignore nulls) over (partition by bio_id order by pos rows unbounded preceding) else era end as used from (select bio_id, pos, {_E} as era, {_N} as num from {_EC}))",
     "child_row_numbering": "select member_id, person_id, 'R' || row_number() over (partition by person_id order by member_id) as relation_no from person_family_members",
-    "sibling_order_check": "select member_id, coalesce(bool_or(fell) over (partition by person_id, sex), false) as conflict from (select *, known and birth_year < lag(case when known then birth_year end) over (partition by person_id, sex, known order by rk, member_id) as fell from (select member_id, person_id, substr(relation, 2, 1) as sex, birth_year, case when regexp_matches(relation, '^[長一]') then 1 when regexp_matches(relation, '^[二次]') then 2 when relation like '三%' then 3 when relation like '四%' then 4 else 5 end as rk, birth_year is not null as known from person_family_members where regexp_matches(relation, '^[長一二次三四五][男女]$')))",
+    "sibling_order_check": "select member_id, coalesce(bool_or(fell) over (partition by person_id, sex), false) as conflict from (select *, known and birth_year < lag(case when known then birth_year end) over (partition by person_id, sex, known order by rk, member_id) as fell from (select member_id, person_id, right(relation, 1) as sex, birth_year, case f when '長' then 1 when '次' then 2 else strpos('一二三四五六七八九十', f) end as rk, birth_year is not null as known from (select *, regexp_extract(relation, '[長一次二三四五六七八九十]') as f from person_family_members where regexp_matches(relation, '[男女]$')) where f <> ''))",
     "unique_role_check": "select member_id, person_id, relation from (select *, count(*) over (partition by person_id, relation) as n from person_family_members where relation in ('父', '母', '養父', '養母')) where n > 1",
     "latest_residence": f"""with o as (select {key_sql('organization_id')} as org, max({key_sql('location_id')}) as org_loc from organizations group by 1), l as (select {key_sql('location_id')} as loc, max(province) as province from locations group by 1),
 c as (select person_id, {key_sql('organization_id')} as org, {key_sql('location_id')} as own, row_number() over (partition by person_id order by (start_year is null), start_year desc nulls last, coalesce(is_current, false) desc, row_id) as rn from person_career)
@@ -305,7 +306,7 @@ select province, count(*) as n_persons from c left join o using (org) left join
     "gap_fill_years": "select member_id, coalesce(cast(birth_year as double), case when b is not null and a is not null then (b + a) / 2.0 when b is not null then b + 0.5 when a is not null then a - 0.5 end) as filled from (select *, last_value(birth_year ignore nulls) over (partition by person_id order by member_id rows between unbounded preceding and 1 preceding) as b, first_value(birth_year ignore nulls) over (partition by person_id order by member_id rows between 1 following and unbounded following) as a from person_family_members)",
     "next_entry_index": "select segment_id, source_image, lead(source_image) over (partition by volume, source_page order by segment_id) as next_image from segmented_output",
     "longest_prefix_lookup": "select place_name, arg_max(name, length(name)) as location_name from (select distinct place_name from person_career where place_name is not null) join (select distinct name from locations where length(name) >= 2) on starts_with(place_name, name) group by place_name",
-    "org_hierarchy_prefix": f"""with s as (select distinct c.name as child, p.name as parent from {_ORGS} c join (select distinct name from organizations where name not in ('朝鮮', '臺灣', '九州', '鐵道', '臨時')) p on starts_with(c.name, p.name) and length(p.name) >= 2 and length(p.name) <= length(c.name) - 2 where length(c.name) >= 4),
+    "org_hierarchy_prefix": f"""with s as (select distinct c.name as child, p.name as parent from {_ORGS} c join (select distinct name from organizations where regexp_replace(name, '[^\u4e00-\u9fff]', '', 'g') not in ({", ".join(f"'{x}'" for x in SKIP_PARENTS)}) and regexp_replace(name, '[^\u4e00-\u9fff]', '', 'g') not in (select name from locations where name is not null)) p on starts_with(c.name, p.name) and length(p.name) >= 2 and length(p.name) <= length(c.name) - 2 where length(c.name) >= 4),
 b as (select child, arg_max(parent, length(parent)) as parent from s group by child)
 select c.organization_id as child_id, p.parent_id, b.child as child_name, b.parent as parent_name from b join {_ORGS} c on c.name = b.child join (select name, min(organization_id) as parent_id from organizations group by name) p on p.name = b.parent""",
     "geocode_places": """with g as (select distinct name, geonameid, case when country = 'ja' then 'JP' when country = 'ko' then 'KR' else 'CN' end as country from locations where geonameid is not null and latitude is not null),
@@ -322,7 +323,7 @@ select location_id, min(region_id) as region_id from (select l.location_id, e.re
     "person_exact_groups": f"select ids[1] as canonical_id, ids[2:] as merged_ids, n_volumes, case when len(places) > 1 then places end as conflicts from (select list(bio_id order by volume, bio_id) as ids, count(distinct volume) as n_volumes, list_sort(list(distinct origin_place) filter (origin_place is not null)) as places from biographies_extracted where name <> '' and birth_year is not null group by translate(name, '{_FOLDS[0]}', '{_FOLDS[1]}'), birth_year) where n_volumes >= 2",
     "person_band_tier": "select person_id, name, min(member_id) as canonical_id, count(*) as n from person_family_members where name is not null group by person_id, name having count(distinct source_volume[1]) >= 2 and coalesce(max(birth_year) - min(birth_year), 0) <= 3",
     "decade_tier": "select a.member_id as id_a, b.member_id as id_b from person_family_members a join person_family_members b on a.name = b.name and b.birth_year = a.birth_year + 10 and a.person_id = b.person_id and a.source_volume[1] <> b.source_volume[1]",
-    "merge_last_non_null": "select person_id, name, " + ", ".join(f"arg_max({c}, member_id) filter ({c} is not null) as {c}" for c in ("relation", "birth_year", "place", "gender")) + " from person_family_members where name is not null group by person_id, name",
+    "merge_last_non_null": "select person_id, name, " + ", ".join(f"arg_max({c}, member_id) filter ({c} is not null) as {c}" for c in ("relation", "birth_year", "place")) + ", arg_max(name_latin, member_id) filter (name_latin is not null and gender is not distinct from first_gender) as name_latin from (select *, first_value(gender) over (partition by person_id, name order by member_id) as first_gender from person_family_members where name is not null) group by person_id, name",
     "subset_elimination": "with r as (select row_id, person_id, organization_id, list_filter([case when job_title not in ('', 'NULL') then 'job_title=' || job_title end, case when start_year is not null then 'start_year=' || start_year end, case when place_name not in ('', 'NULL') then 'place_name=' || place_name end], lambda x: x is not null) as d from person_career where organization_id is not null) select row_id from r where not exists (select 1 from r o where o.person_id is not distinct from r.person_id and o.organization_id = r.organization_id and len(o.d) > len(r.d) and list_has_all(o.d, r.d))",
     "fuzzy_name_pairs": "with n as (select distinct name_en as name from organizations where name_en <> '') select a.name as name_a, b.name as name_b, round_even(jaro_winkler_similarity(a.name, b.name), 3) as similarity from n a join n b on a.name < b.name where jaro_winkler_similarity(a.name, b.name) >= 0.9",
     "variant_grouping": f"select folded, arg_max(form, (cast(form = folded as int), n, form)) as canonical, count(*) as n_forms, cast(sum(n) as bigint) as n_rows from (select translate(hobby, '{_FOLDS[0]}', '{_FOLDS[1]}') as folded, hobby as form, count(*) as n from person_hobbies where hobby is not null group by 1, 2) group by folded",

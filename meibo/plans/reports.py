@@ -103,13 +103,13 @@ def coordinate_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    """About a hundred documents in proportion to their sources."""
+    """A hundred documents in proportion to their sources."""
     return S.stratified_sample(table(spark, d, "documents"), "source", "doc_id", 100).select("doc_id", "source")
 
 
 def tertile_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty documents of each third by length."""
-    return S.tertile_sample(table(spark, d, "documents"), "n_chars", "doc_id", 20).select("doc_id", "tertile")
+    """Sixty-one documents from the thirds by length."""
+    return S.tertile_sample(table(spark, d, "documents"), "n_chars", "doc_id", 61).select("doc_id", "tertile")
 
 
 def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ def mcnemar(spark: SparkSession, d: str) -> DataFrame:
     """Two thresholds compared on the same verdicts."""
     j = _judged(spark, d)
     m = S.mcnemar(j, F.col("by_score") == F.col("llm_confirmed"), F.col("by_low") == F.col("llm_confirmed"))
-    return m.select("only_a", "only_b", F.round("chi2", 6).alias("chi2"))
+    return m.select("only_a", "only_b", F.round("chi2", 6).alias("chi2"), F.round("p", 6).alias("p"))
 
 
 def binary_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -222,8 +222,8 @@ def person_detail(spark: SparkSession, d: str) -> DataFrame:
     return last.join(names, "org", "left").join(jobs, "person_id").join(kin, "person_id", "left").select("person_id", "job_title", "org_name", "n_jobs", F.coalesce("n_relatives", F.lit(0)).cast("bigint").alias("n_relatives"))
 
 
-def _digest(key: str) -> str:
-    return f"md5('42:' || {key})"
+def _digest(key: str, seed: str = "42") -> str:
+    return f"md5('{seed}:' || {key})"
 
 
 
@@ -254,12 +254,12 @@ SQL: dict[str, str] = {
     "two_stage_top": "with c as (select hisco_major, job_title, count(*) as n, min(row_id) as f from person_career where hisco_major is not null group by 1, 2) select hisco_major, cast(sum(n) as bigint) as n, arg_max(job_title, (n, -f)) filter (job_title is not null) as job_title from c group by 1",
     "year_histogram": "select start_year as year, count(distinct person_id) as n from person_career where start_year between 1850 and 1943 group by 1",
     "coordinate_counts": f"select lat, lon, count(*) as n, count(distinct person_id) as n_persons from (select person_id, {key_sql('location_id')} as loc from person_career) join (select distinct {key_sql('location_id')} as loc, round_even(latitude, 1) as lat, round_even(longitude, 1) as lon from locations where latitude is not null and longitude is not null) using (loc) group by 1, 2",
-    "stratified_sample": f"with t as (select count(*) as n from documents), q as (select source, cast(greatest(round_even(100.0 * count(*) / (select n from t), 0), 1) as bigint) as quota from documents group by 1) select doc_id, source from (select doc_id, source, row_number() over (partition by source order by {_digest('doc_id')}, doc_id) as rn from documents) join q using (source) where rn <= quota",
-    "tertile_sample": f"with c as (select n_chars, count(*) as c from documents where n_chars is not null group by 1), t as (select n_chars, cast(least(floor((sum(c) over (order by n_chars) - c) * 3 / sum(c) over ()), 2) as int) as tertile from c) select doc_id, tertile from (select doc_id, tertile, row_number() over (partition by tertile order by {_digest('doc_id')}, doc_id) as rn from documents join t using (n_chars)) where rn <= 20",
+    "stratified_sample": f"with t as (select count(*) as n from documents), q as (select source, cast(least(greatest(round_even(100.0 * count(*) / (select n from t), 0), 1), count(*)) as bigint) as quota from documents group by 1) select doc_id, source from (select doc_id, source, row_number() over (partition by source order by {_digest('doc_id')}, doc_id) as rn from documents) join q using (source) where rn <= quota order by {_digest('doc_id', '42/n')}, doc_id limit 100",
+    "tertile_sample": f"with p as (select doc_id, cast(least(floor((row_number() over (order by n_chars, doc_id) - 1) / (count(*) over () // 3)), 2) as int) as tertile from documents where n_chars is not null) select doc_id, tertile from (select *, row_number() over (partition by tertile order by {_digest('doc_id')}, doc_id) as rn from p) where rn <= 20 + case when tertile < 1 then 1 else 0 end",
     "balanced_sample": f"select pair_id, llm_confirmed from (select *, row_number() over (partition by llm_confirmed order by {_digest('pair_id')}, pair_id) as rn from org_match_pairs where llm_confirmed is not null) where rn <= 20",
     "confusion_matrix": f"select llm_confirmed as gold, by_score as pred, count(*) as n from {_J} group by 1, 2",
     "cohens_kappa": f"with m as (select llm_confirmed as g, by_score as p, count(*) as n from {_J} group by 1, 2), t as (select sum(n) as n, sum(n) filter (g = p) as same from m), e as (select sum(a.s * b.s) as s from (select g, sum(n) as s from m group by 1) a join (select p, sum(n) as s from m group by 1) b on a.g = b.p) select cast(n as bigint) as n, round(same / n, 6) as observed, round(s / (n * n), 6) as expected, round((same / n - s / (n * n)) / (1 - s / (n * n)), 6) as kappa from t, e",
-    "mcnemar": f"select a as only_a, b as only_b, round(cast(pow(abs(a - b) - 1, 2) as double) / nullif(a + b, 0), 6) as chi2 from (select count(*) filter (by_score = llm_confirmed and by_low <> llm_confirmed) as a, count(*) filter (by_low = llm_confirmed and by_score <> llm_confirmed) as b from {_J})",
+    "mcnemar": f"with m as (select a as only_a, b as only_b, cast(pow(abs(a - b) - 1, 2) as double) / nullif(a + b, 0) as chi2 from (select count(*) filter (by_score = llm_confirmed and by_low <> llm_confirmed) as a, count(*) filter (by_low = llm_confirmed and by_score <> llm_confirmed) as b from {_J})), x as (select *, sqrt(chi2 / 2) as z, 1 / (1 + 0.3275911 * sqrt(chi2 / 2)) as t from m) select only_a, only_b, round(chi2, 6) as chi2, round((0.254829592 * t - 0.284496736 * pow(t, 2) + 1.421413741 * pow(t, 3) - 1.453152027 * pow(t, 4) + 1.061405429 * pow(t, 5)) * exp(-z * z), 6) as p from x",
     "binary_scores": f"select tp, fp, fn, tn, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r), 6) as f1, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from (select *, tp / nullif(tp + fp, 0) as p, tp / nullif(tp + fn, 0) as r from (select count(*) filter (llm_confirmed and by_score) as tp, count(*) filter (not llm_confirmed and by_score) as fp, count(*) filter (llm_confirmed and not by_score) as fn, count(*) filter (not llm_confirmed and not by_score) as tn from {_J}))",
     "similarity_by_verdict": f"select llm_confirmed, round(avg(similarity), 6) as mean, count(*) as n from {_J} group by 1",
     "list_match_prf": "with s as (select coalesce(cast(llm_confirmed as varchar), 'open') as verdict, * from org_match_pairs where similarity is not null), a as (select verdict, avg(m) as precision from (select verdict, organization_id_a, max(similarity) as m from s group by 1, 2) group by 1), b as (select verdict, avg(m) as recall from (select verdict, organization_id_b, max(similarity) as m from s group by 1, 2) group by 1) select verdict, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / (precision + recall), 6) as f1 from a join b using (verdict)",

@@ -185,5 +185,5 @@ SQL: dict[str, str] = {
     + ", ".join(f"'{x}'" for x in C.RELATION_EXACT) + r") or regexp_matches(r, '^.{1,10}[の之]?妻$') or regexp_matches(r, '^(昭和?|大正?|明治?)[一二三四五六七八九十〇\d]{1,4}年?$')) and r not in (" + ", ".join(f"'{x}'" for x in C.LEGITIMATE_JOBS) + ") as is_relation_word from (select *, coalesce(relation, '') as r from person_family_members)",
     "detect_domains": f"select bio_id, domain, case when length(name) > 1 then left(name, {_CUT}) end as family, case when length(name) > 1 then substr(name, {_CUT} + 1) end as given from (select bio_id, name, {_DOM} as domain from biographies_extracted)",
     "garbled_places": f"select p as place_name, n, {_GARBLED} as garbled, {_FOREIGN} as foreign_to_place from (select place_name as p, count(*) as n from person_career where place_name is not null group by 1)",
-    "organisation_labels": "select organization_id, coalesce(name_en || ' ' || name, name) as label, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name_en, 'O[uU]([^aeiouAEIOU]|$)', 'Ō\\1', 'g'), 'o[uU]([^aeiouAEIOU]|$)', 'ō\\1', 'g'), 'U[uU]([^aeiouAEIOU]|$)', 'Ū\\1', 'g'), 'u[uU]([^aeiouAEIOU]|$)', 'ū\\1', 'g') as macron, case when regexp_matches(b, '(?i)大學|大学|university|imperial') then 'university' when regexp_matches(b, '(?i)高等|師範|normal|higher|college') then 'higher' when regexp_matches(b, '(?i)中學|中学|商業|工業|農林|middle|commercial|technical|agricultural|high school') then 'secondary' when regexp_matches(b, '(?i)學校|学校|school') then 'school' else 'other' end as tier, length(name) <= 4 and regexp_matches(name, '[省部局院廳庁]$') as generic from (select distinct organization_id, name, name_en, concat_ws(' ', name, name_en) as b from organizations)",
+    "organisation_labels": "select organization_id, coalesce(name_en || ' ' || name, name) as label, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name_en, 'O[uU]([^aeiouAEIOU]|$)', 'Ō\\1', 'g'), 'o[uU]([^aeiouAEIOU]|$)', 'ō\\1', 'g'), 'U[uU]([^aeiouAEIOU]|$)', 'Ū\\1', 'g'), 'u[uU]([^aeiouAEIOU]|$)', 'ū\\1', 'g') as macron, case when regexp_matches(b, '小学|小學|尋常|Elementary School|Primary School', 'i') then 1 when regexp_matches(b, '中学|中學|中等|Middle School', 'i') and not regexp_matches(b, '大学|大學', 'i') then 2 when regexp_matches(b, '高等学校|高等學校|高校|高等女|師範|予科|予備|High School|Normal School|Preparatory', 'i') and not regexp_matches(b, '大学|大學', 'i') then 3 when regexp_matches(b, '大学|大學|専門|專門|College|University', 'i') then 4 when regexp_matches(b, '大学院|研究科|Graduate', 'i') then 5 else 3 end as tier, length(name) <= 4 and regexp_matches(name, '[省部局院廳庁]$') as generic from (select distinct organization_id, name, name_en, concat_ws(' ', name, name_en) as b from organizations)",
 }

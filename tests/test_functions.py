@@ -53,3 +53,18 @@ def test_classification(spark):
     assert one(spark, "東大法科卒", C.is_foreign_to_place) and not one(spark, "東大阪", C.is_foreign_to_place)
     assert one(spark, "王五", lambda c: C.domain_of(F.lit(None).cast("string"), c)) == "zh" and one(spark, "x", lambda c: C.domain_of(F.lit("京城府"), c)) == "ko"
     assert tuple(one(spark, "司馬光", lambda c: C.family_and_given(c, F.lit("zh")))) == ("司馬", "光")
+
+
+def test_labels_follow_the_survey(spark):
+    one = lambda *cols: spark.range(1).select(*cols).first()
+    L = F.lit
+    r = one(*[C.relation_order(L(x)).alias(f"r{k}") for k, x in enumerate(("養祖父", "叔父", "從兄", "次男", "五男長", "孫", None))])
+    assert [tuple(x) for x in r] == [(0, 3, 6), (2, 3, 6), (6, 3, 6), (5, 2, 6), (5, 1, 5), (8, 3, 6), (9, 3, 6)]
+    assert list(one(*[C.education_tier(L(x)).alias(f"t{k}") for k, x in enumerate(("東京帝國大學", "小學校", "大阪中學", "高等女學校", "x school", None, "Graduate School"))])) == [4, 1, 2, 3, 3, 3, 5]
+    assert list(one(*[C.hisco_minor(L(x)).alias(f"h{k}") for k, x in enumerate(("4", "4.0", "04120", " 55 ", "", None, "x.y"))])) == ["04", "04", "04", "55", "", "", "x.y"]
+    long = "a" * 51
+    assert list(one(*[X.tidy_translation(L(x)).alias(f"x{k}") for k, x in enumerate(("o'neil  bank", "Tōkyō bank", long, "銀行"))])) == ["O'Neil Bank", "Tky bank", None, None]
+    assert list(one(*[X.normalise_place(L(x)).alias(f"p{k}") for k, x in enumerate(("Tokyo (Prefecture)", "Kobe City", "Otoku-ken"))])) == ["Tokyo", "Kobe", "Otoku-ken"]
+    assert one(X.strip_tones(L("ŌsakaǙÁé")))[0] == "OsakaÜAe"
+    assert list(one(*[S.is_variant(L(a), L(b)).alias(f"v{k}") for k, (a, b) in enumerate((("太郎", "太朗"), ("太郎", "次郎"), ("太", "太郎"), ("一", "二")))])) == [True, False, True, False]
+    assert C.in_regions(L("zh"), L("Jilin"), []) is not None and one(C.in_regions(L("zh"), L("Jilin"), ["mk", "ja"]), C.in_regions(L("zh"), L("Gansu"), ["mk"]))[0:2] == (True, False)

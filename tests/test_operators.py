@@ -69,6 +69,12 @@ def test_closure_and_depth(spark):
     assert {k: got[k] for k in "abcx"} == {"a": "d", "b": "d", "c": "d", "x": "y"} and "z" not in got
     chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(20)], "c string, p string")
     assert {int(r.c): r.depth for r in R.parent_depth(chain, "c", "p").collect()} == {i: i for i in range(20)}
+    ring = spark.createDataFrame([(str(i), str((i + 1) % 4)) for i in range(4)] + [("t", "2"), ("u", "t"), ("9", "9")], "c string, p string")
+    assert {r.c: (r.depth, r.top) for r in R.parent_depth(ring, "c", "p").collect()} == {c: (64, None) for c in "0123tu"} | {"9": (0, "9")}
+    assert {r.c: r.p for r in R.close_remap(ring, "c", "p").collect()} == dict.fromkeys("0123tu", "0")
+    long = spark.createDataFrame([(f"{i:04d}", f"{i - 1:04d}" if i else None) for i in range(300)], "c string, p string")
+    assert {int(r.c): (r.depth, r.top) for r in R.parent_depth(long, "c", "p").collect()} == {i: (i, "0000") for i in range(300)}
+    assert {r.p for r in R.close_remap(long, "c", "p").collect()} == {"0000"}
     df = spark.createDataFrame([("a",), ("k",), (None,)], "i string")
     assert sorted((r.i or "") for r in R.remap(df, "i", m).collect()) == ["", "b", "k"]
 
@@ -125,10 +131,27 @@ def test_statistics(spark):
     k = S.cohens_kappa(spark.createDataFrame([(True, True)] * 4 + [(False, False)] * 4 + [(True, False)] * 2, "a boolean, b boolean"), "a", "b").first()
     assert k.kappa == pytest.approx((0.8 - 0.48) / 0.52)
     sample = S.stratified_sample(spark.range(1000).select("id", (F.col("id") < 10).alias("s")), "s", "id", 50)
-    assert {r.s: r["count"] for r in sample.groupBy("s").count().collect()} == {True: 1, False: 50}
+    # the strata's quotas are 1 and 50; the sample is cut to the size asked for
+    by = {r.s: r["count"] for r in sample.groupBy("s").count().collect()}
+    assert sum(by.values()) == 50 and by[False] in (49, 50)
+    m = S.mcnemar(spark.createDataFrame([(True, False)] * 12 + [(False, True)] * 3 + [(True, True)] * 9, "a boolean, b boolean"), F.col("a"), F.col("b")).first()
+    assert (m.only_a, m.only_b) == (12, 3) and m.p == pytest.approx(S.chi2_p(m.chi2), abs=1e-6)
+    few = S.volume_balanced_sample(spark.range(40).select("id", (F.col("id") < 3).alias("v"), (F.col("id") % 2).alias("k")), "v", "k", "id", 20)
+    assert {r.v: r["count"] for r in few.groupBy("v").count().collect()} == {True: 3, False: 17}
+    t = S.tertile_sample(spark.range(10), "id", "id", 7).collect()
+    assert sorted((r.tertile, r.id // 3) for r in t if r.tertile < 2) == [(0, 0)] * 3 + [(1, 1)] * 2 and sum(r.tertile == 2 for r in t) == 2
     assert S.stratified_sample(spark.createDataFrame([], "id long, s string"), "s", "id", 5).count() == 0
 
 
+def test_components_of_a_chain_and_a_hub(spark):
+    chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)]
+    hub = [("hub", f"z{i}") for i in range(100)]
+    got = {r.node: r.component for r in N.components(spark.createDataFrame(chain + hub, "src string, dst string")).collect()}
+    assert {got[f"{i:04d}"] for i in range(301)} == {"0000"} and {got[f"z{i}"] for i in range(100)} == {"hub"}
+    with pytest.raises(RuntimeError):
+        N.components(spark.createDataFrame(chain, "src string, dst string"), most=2)
+
+
 def test_catalogue(spark):
     df = spark.createDataFrame([("a (b) c", None), ("ab", "other"), (None, "x")], "t string, c string")
     assert df.where(K.keyword_filter("(b)", [F.col("t")], whole=False)).count() == 1 and df.where(K.keyword_filter("", [F.col("t")])).count() == 3
