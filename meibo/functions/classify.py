@@ -193,27 +193,33 @@ ORG_PLACE_ENDINGS = "領事館 鐵道 鉄道 中學 中学 造船部".split()
 ORG_TOKENS = "株 製作所 工場 會社 会社 銀行 商店 合資 合名 事務所 本社 支社 出張所".split()
 
 
+# A wife named by her husband and an era year, as job titles; what a short place is if it is a piece of a date; short names of universities and what makes them places.
+JOB_PATTERNS = (r"^.{1,10}[の之]?妻$", r"^(?:昭和?|大正?|明治?)[一二三四五六七八九十〇\d]{1,4}年?$")
+DATE_PLACES = (r"^[一二三四五六七八九十〇\d]{1,4}$", r"^[明大昭天][一二三四五六七八九十〇\d]{0,3}$")
+SHORT_ERA = "^[明昭天]"
+UNIVERSITIES = "東北大 東大 北大 京大 阪大 帝大 九大 名大 慶大 早大".split()
+NOT_UNIVERSITIES = "阪曽曾崎久門海野浦杉"
+POSSESSED = "[の之](?:妻|夫|男|女|子|兄|弟|姉|妹|孫)"
+
+
 def is_false_job(title: Column) -> Column:
     """True for a job title that is a relation or an era year; null titles are not."""
     t = F.coalesce(title, F.lit(""))
-    wrong = t.isin(*RELATION_EXACT) | t.rlike("^.{1,10}[の之]?妻$") | t.rlike(r"^(?:昭和?|大正?|明治?)[一二三四五六七八九十〇\d]{1,4}年?$")
+    wrong = t.isin(*RELATION_EXACT) | t.rlike("|".join(JOB_PATTERNS))
     return wrong & ~t.isin(*LEGITIMATE_JOBS)
 
 
 def is_garbled_place(place: Column) -> Column:
     """True for a place that is a reference, a bare number, a piece of an era date or a school."""
     p = F.coalesce(place, F.lit(""))
-    short = (F.length(p) == 2) & p.rlike("^[明昭天]") & ~p.isin(*ERA_SAFE_PLACES)
-    return (
-        p.isin(*DEICTIC_PLACES) | p.rlike(r"^[一二三四五六七八九十〇\d]{1,4}$") | p.rlike(r"^[明大昭天][一二三四五六七八九十〇\d]{0,3}$")
-        | short | p.rlike("(?:" + "|".join(SCHOOL_ENDINGS) + ")$")
-    )
+    short = (F.length(p) == 2) & p.rlike(SHORT_ERA) & ~p.isin(*ERA_SAFE_PLACES)
+    return p.isin(*DEICTIC_PLACES) | p.rlike("|".join(DATE_PLACES)) | short | p.rlike("(?:" + "|".join(SCHOOL_ENDINGS) + ")$")
 
 
 def is_foreign_to_place(place: Column) -> Column:
     """True for a place that ends in a relation, in an organisation, or begins with a university's short name."""
-    uni = place.rlike("^(?:東北大|東大|北大|京大|阪大|帝大|九大|名大|慶大|早大)(?![阪曽曾崎久門海野浦杉])")
-    return place.rlike("(?:" + "|".join(RELATION_ENDINGS) + "|[の之](?:妻|夫|男|女|子|兄|弟|姉|妹|孫))$") | place.rlike("(?:" + "|".join(ORG_PLACE_ENDINGS) + ")$") | uni
+    uni = place.rlike(f"^(?:{'|'.join(UNIVERSITIES)})(?![{NOT_UNIVERSITIES}])")
+    return place.rlike("(?:" + "|".join([*RELATION_ENDINGS, POSSESSED]) + ")$") | place.rlike("(?:" + "|".join(ORG_PLACE_ENDINGS) + ")$") | uni
 
 
 def is_relation_org(name: Column) -> Column:
