@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meibo.functions.era import SAME, era_base, era_name, era_number
 from meibo.functions.similarity import ratio
+from meibo.session import materialize
 
 NEAR_DUPLICATE = 0.85
 
@@ -27,13 +28,33 @@ def enumerate_rows(df: DataFrame, order: Sequence[Column | str], within: Sequenc
     return df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1 + start).cast("bigint"))
 
 
+def _ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` cut into sorted ranges, with the range's number as ``_part``; written, so that no retry cuts otherwise."""
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def running_count(df: DataFrame, within: str, order: str, counted: Column, name: str) -> DataFrame:
+    """How often ``counted`` held up to each row of its group, by ranges: no group, however large, is sorted in one task.
+
+    Rows with a null group form one of their own.
+    """
+    ranged = _ranges(df, [within, order])
+    local = ranged.withColumn("_local", F.count_if(counted).over(Window.partitionBy("_part", within).orderBy(order)))
+    # one row for each range and group in it
+    sums = ranged.groupBy("_part", within).agg(F.count_if(counted).alias("_n"))
+    before = Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").withColumnRenamed(within, "_within")
+    joined = local.join(starts.withColumnRenamed("_part", "_of"), (F.col("_part") == F.col("_of")) & F.col(within).eqNullSafe(F.col("_within")))
+    return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_of", "_within", "_local", "_before")
+
+
 def stitch(segments: DataFrame, within: str, order: str, kind: str = "segment_type", body: str = "body_text") -> DataFrame:
     """Entries with their continuations: a standard segment opens an entry, orphans after it are appended.
 
-    Orphans before the first entry and full-row segments are left out.  Null bodies count as empty.
+    Orphans before the first entry and full-row segments are left out.  Null bodies count as empty.  Entries are
+    numbered by ranges, so a volume of any size is spread.
     """
-    w = Window.partitionBy(within).orderBy(order)
-    numbered = segments.where(F.col(kind).isin("standard", "orphan")).withColumn("entry", F.count_if(F.col(kind) == "standard").over(w))
+    numbered = running_count(segments.where(F.col(kind).isin("standard", "orphan")), within, order, F.col(kind) == "standard", "entry")
     parts = numbered.where("entry > 0").groupBy(within, "entry").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("n_segments"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(body, F.lit("")).alias("b")))), lambda s: s["b"]), " ").alias("text"),
@@ -156,7 +177,7 @@ def first_seen_ids(df: DataFrame, key: str, order: str, prefix: str) -> DataFram
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
     """Rows numbered in a global order without one task that holds them all: ranges are sorted, counted and offset."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = _ranges(df, order)
     w = Window.partitionBy("_part").orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w))
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

@@ -241,6 +241,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 SQL: dict[str, str] = {
+    "network_components": """with recursive k as (select distinct person_id as src, place || '|' || cast(birth_year as varchar) as dst from person_family_members where place is not null and birth_year is not null and person_id is not null),
+e as (select src as u, dst as v from k union select dst, src from k), reach(node, root) as (select distinct u, u from e union select e.v, r.root from reach r join e on e.u = r.node)
+select component, count(*) as size from (select node, min(root) as component from reach group by node) group by component""",
     "catalogue_filter": "select person_id, count(*) as n_jobs, max(start_year) as last_year from person_career where (hisco_major in ('7', '8', '9', 'other') or regexp_matches(job_title_en, '(?i)\\bengineer\\b') or regexp_matches(job_title_en, '(?i)\\battorney\\b')) and person_id in (select person_id from person_family_members where (birth_year is null or birth_year between 1845 and 1945) and lower(gender) in ('f', 'm')) group by person_id",
     "catalogue_keywords": "select job_title_en, count(*) as n from person_career where regexp_matches(job_title_en, '(?i)\\bsection\\b') and regexp_matches(job_title_en, '(?i)\\bchief\\b') group by 1",
     "rollup_parent_counts": f"with n as (select org, count(distinct person_id) as n from {_C} where org is not null group by org), k as (select p, sum(n.n) as kids from (select distinct {key_sql('organization_id')} as org, {key_sql('parent_organization_id')} as p from organizations) join n using (org) where p is not null group by p) select n.org as organization_id, cast(n.n + coalesce(kids, 0) as bigint) as n from n left join k on k.p = n.org",

@@ -25,6 +25,13 @@ def test_stitch_fold_drops_near_duplicates_and_reattaches(spark):
     assert got == {("v", 1): (3, "aaaaaaaaaa bbbb cc dd"), ("v", 6): (1, "zzzz"), ("w", 2): (1, "")}
 
 
+def test_running_count_by_ranges(spark):
+    rows = [("v" if i % 3 else None, i * 7919 % 1000, i % 4 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, c boolean")
+    got = {(r.g, r.o): r.n for r in O.running_count(df, "g", "o", F.col("c"), "n").collect()}
+    assert got == {(g, o): sum(c2 for g2, o2, c2 in rows if g2 == g and o2 <= o) for g, o, _ in rows}
+
+
 def test_number_rows_is_global(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 1000).alias("v"))
     got = [r.n for r in O.number_rows(df, ["v"], "n").orderBy("v").collect()]
