@@ -94,6 +94,28 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(pack(_sizes(spark, d), settings), settings)
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: documents assigned, containers above the capacity, documents cut or assigned in part without need."""
+    sizes, settings = _sizes(spark, d), table(spark, d, "pack_settings")
+    packed = materialize(pack(sizes, settings), "packed")
+    full = packed.groupBy("container_kind", "container_id").agg(F.sum("piece_tokens").alias("n")).join(F.broadcast(settings), "container_kind")
+    over = full.groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("over_capacity"))
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.sum("piece_tokens").alias("n"), F.count(F.lit(1)).alias("pieces")).join(sizes.select("doc_id", "n_tokens"), "doc_id").join(F.broadcast(settings), "container_kind")
+    whole = (F.col("n") == F.col("n_tokens")) & ((F.col("pieces") == 1) | (F.col("n_tokens") > F.col("capacity_tokens")))
+    per = docs.groupBy("container_kind", "capacity_tokens").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(~whole).alias("not_whole"))
+    return per.join(over, "container_kind").select("container_kind", "capacity_tokens", "n_documents", "over_capacity", "not_whole")
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the targets: its documents, and those used too often, under another source or twice in the mix."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    used = mix(sizes, targets).select("doc_id", F.col("source").alias("_source"), "copies")
+    seen = used.join(sizes.select("doc_id", "source"), "doc_id").join(F.broadcast(targets), "source")
+    wrong = seen.groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("above_repeats"), F.count_if(F.col("_source") != F.col("source")).alias("other_source"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("used_twice"))
+    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents")).join(F.broadcast(targets), "source")
+    return per.join(wrong, "source", "left").fillna(0).select("source", "target_share", "max_repeats", "n_documents", "above_repeats", "other_source", "used_twice")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix with their copies."""
     return mix(_sizes(spark, d), table(spark, d, "mix_targets"))
@@ -122,9 +144,11 @@ _LINKS = f"""latest as (select least(x, y) as a, greatest(x, y) as b, arg_max(ll
 e as (select a as u, b as v from latest where ok union all select b, a from latest where ok)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p5_found, p5_repaired, p6_found, p6_unmatched, p7_found, p7_groups, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_clean)
+    f.__name__: f for f in (p4_found, p5_found, p5_repaired, p6_found, p6_unmatched, p7_found, p7_groups, p8_containers, p8_report, p8_invariants, p9_mix, p9_shares, p9_invariants, p10_found, p10_clean)
 }
 SQL: dict[str, str] = {
+    "p8_invariants": "select container_kind, capacity_tokens, (select count(distinct doc_id) from documents) as n_documents, 0::bigint as over_capacity, 0::bigint as not_whole from pack_settings",
+    "p9_invariants": "select source, target_share, max_repeats, count(*) as n_documents, 0::bigint as above_repeats, 0::bigint as other_source, 0::bigint as used_twice from documents join mix_targets using (source) group by all",
     "p4_found": f"""with recursive {_LINKS},
 reach(id, root) as (select distinct u, u from e union select e.v, r.root from reach r join e on e.u = r.id)
 select id as organization_id, arg_min(root, cast(substr(root, 2) as bigint)) as group_id from reach group by id""",
