@@ -34,18 +34,21 @@ def head_start(vertex: Column, round_no: int, beta: float = BETA) -> Column:
 
 def _round(edges: DataFrame, round_no: int, hops: int, beta: float) -> tuple[DataFrame, DataFrame]:
     """(clusters, links left) of one round; clusters (v, c): the cluster centre of every vertex of ``edges`` (a, b: each undirected edge once)."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    # every vertex is its own neighbour at no distance: a hop reads the labels once, so four hops are four joins
+    steps = [edges.select(F.col(x).alias("u"), F.col(y).alias("v"), F.lit(1).alias("step")) for x, y in ("ab", "ba")]
+    both = steps[0].unionByName(steps[1]).unionByName(ends.select("u", F.col("u").alias("v"), F.lit(0).alias("step")))
     both = materialize(both.repartition("u"), "edges")
     # either end of a link is a "u": hot ones are told once for growth and contraction
     hot = hot_keys(both, "u")
-    label = both.select(F.col("u").alias("v")).distinct().select("v", (-head_start(F.col("v"), round_no, beta)).alias("at"), F.col("v").alias("c"))
+    label = both.where("step = 0").select("v", (-head_start(F.col("v"), round_no, beta)).alias("at"), F.col("v").alias("c"))
     for _ in range(hops):
-        reached = skew_lookup(both, label.withColumnRenamed("v", "u"), "u", "inner", hot=hot).select("v", (F.col("at") + 1).alias("at"), "c")
-        best = label.unionByName(reached).groupBy("v").agg(F.min(F.struct("at", "c")).alias("m"))
+        reached = skew_lookup(both, label.withColumnRenamed("v", "u"), "u", "inner", hot=hot)
+        best = reached.groupBy("v").agg(F.min(F.struct((F.col("at") + F.col("step")).alias("at"), "c")).alias("m"))
         label = best.select("v", F.col("m.at").alias("at"), F.col("m.c").alias("c"))
     clusters = materialize(label.select("v", "c"), "clusters")
-    ends = [clusters.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
-    moved = skew_lookup(skew_lookup(edges, ends[0], "a", "inner", hot=hot), ends[1], "b", "inner", hot=hot).where(F.col("ca") != F.col("cb"))
+    homes = [clusters.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
+    moved = skew_lookup(skew_lookup(edges, homes[0], "a", "inner", hot=hot), homes[1], "b", "inner", hot=hot).where(F.col("ca") != F.col("cb"))
     left = materialize(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
     release(both)
     return clusters, left
