@@ -67,6 +67,22 @@ def phantom_rows(df: DataFrame, identity: Sequence[str]) -> DataFrame:
     return df.where(F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in identity]).isNull())
 
 
+# Words that refer to an organisation named before; names of schools for girls.
+DEICTIC_ORGS = "本省 現社 本縣 地方 本府 本店 現地".split()
+GIRLS_SCHOOLS = "高女|女學校|女学校|女子.*學校|女子.*学校|女子専門|女子師範"
+
+
+def without_children(children: DataFrame, dropped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Child rows of dropped parents left out; null keys belong to no parent."""
+    return children.join(dropped.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def males_at_girls_schools(education: DataFrame, gender: Column, school: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept, deleted): school records of men at schools for girls are deleted."""
+    hit = F.coalesce((F.lower(gender) == "m") & school.rlike(GIRLS_SCHOOLS), F.lit(False))
+    return education.where(~hit), education.where(hit)
+
+
 def origin_domain(domain: Column, origin_country: Column, career_countries: Column) -> Column:
     """The domain by the country of origin, else by the only country of all jobs, else as it was."""
     one = F.when(F.size(F.array_distinct(F.array_compact(career_countries))) == 1, F.element_at(F.array_distinct(F.array_compact(career_countries)), 1))

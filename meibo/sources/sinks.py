@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meibo.session import materialize, release
 from meibo.sources.readers import exists
 
 
@@ -16,15 +17,21 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Rows whose keys the Parquet table lacks are appended; returns their number.  A rerun appends nothing twice."""
+    """Rows whose keys the Parquet table lacks are appended; returns their number.  A rerun appends nothing twice.
+
+    Only the batch is counted, not the table it is added to.
+    """
     spark = df.sparkSession
     new = df.dropDuplicates(keys)
     if exists(spark, path):
         done = spark.read.parquet(path).select(*keys).distinct()
         new = new.join(done, keys, "left_anti")
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    new = materialize(new, "batch")
+    n = new.count()
+    if n or not exists(spark, path):
+        new.write.mode("append").parquet(path)
+    release(new)
+    return n
 
 
 def write_version(df: DataFrame, root: str) -> str:

@@ -8,9 +8,9 @@ import os
 import duckdb
 import pytest
 
-from meibo.plans import problems, relational, reports, rules, scalars
+from meibo.plans import details, problems, relational, reports, rules, scalars
 
-MODULES = (problems, scalars, relational, reports, rules)
+MODULES = (problems, scalars, relational, reports, rules, details)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
