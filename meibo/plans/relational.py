@@ -170,9 +170,9 @@ def row_to_page_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def person_exact_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Subjects of equal folded name and birth year in two volumes or more."""
-    b = table(spark, d, "biographies_extracted").where("name <> ''")
-    return R.exact_groups(b, [X.fold_col("name"), F.col("birth_year")], "bio_id", "volume", ["volume", "bio_id"], "origin_place")
+    """Relatives of equal folded name, birth year and sex in two volumes or more, with the places they differ in."""
+    m = table(spark, d, "person_family_members").where("name <> '' and gender is not null").withColumn("vol", F.element_at("source_volume", 1))
+    return R.exact_groups(m, [X.fold_col("name"), F.col("birth_year"), F.col("gender")], "member_id", "vol", ["vol", "member_id"], "place")
 
 
 def person_band_tier(spark: SparkSession, d: str) -> DataFrame:
@@ -320,7 +320,7 @@ select location_id, min(region_id) as region_id from (select l.location_id, e.re
     "semi_anti_resume": "select c_mktsegment, count(*) as n, case when exists (select 1 from orders where o_custkey = c_custkey) then 'done' else 'todo' end as state from customer group by all",
     "header_in_row": "select a.segment_id, min(b.segment_id) as range_id from segmented_output a join segmented_output b using (volume, source_page) where a.bbox_header is not null and b.segment_x_range is not null and (a.bbox_header[1] + a.bbox_header[3]) / 2 between b.segment_x_range[1] and b.segment_x_range[2] group by a.segment_id",
     "row_to_page_nearest": "select a.segment_id, arg_min(b.segment_id, (abs((a.bbox_header[1] + a.bbox_header[3]) / 2 - (b.bbox_header[1] + b.bbox_header[3]) / 2), b.segment_id)) as other_id from segmented_output a join segmented_output b using (volume, source_page) where a.bbox_header is not null and b.bbox_header is not null and a.segment_id <> b.segment_id group by a.segment_id",
-    "person_exact_groups": f"select ids[1] as canonical_id, ids[2:] as merged_ids, n_volumes, case when len(places) > 1 then places end as conflicts from (select list(bio_id order by volume, bio_id) as ids, count(distinct volume) as n_volumes, list_sort(list(distinct origin_place) filter (origin_place is not null)) as places from biographies_extracted where name <> '' and birth_year is not null group by translate(name, '{_FOLDS[0]}', '{_FOLDS[1]}'), birth_year) where n_volumes >= 2",
+    "person_exact_groups": f"select ids[1] as canonical_id, ids[2:] as merged_ids, n_volumes, case when len(places) > 1 then places end as conflicts from (select list(member_id order by source_volume[1], member_id) as ids, count(distinct source_volume[1]) as n_volumes, list_sort(list(distinct place) filter (place is not null)) as places from person_family_members where name <> '' and gender is not null and birth_year is not null group by translate(name, '{_FOLDS[0]}', '{_FOLDS[1]}'), birth_year, gender) where n_volumes >= 2",
     "person_band_tier": "select person_id, name, min(member_id) as canonical_id, count(*) as n from person_family_members where name is not null group by person_id, name having count(distinct source_volume[1]) >= 2 and coalesce(max(birth_year) - min(birth_year), 0) <= 3",
     "decade_tier": "select a.member_id as id_a, b.member_id as id_b from person_family_members a join person_family_members b on a.name = b.name and b.birth_year = a.birth_year + 10 and a.person_id = b.person_id and a.source_volume[1] <> b.source_volume[1]",
     "merge_last_non_null": "select person_id, name, " + ", ".join(f"arg_max({c}, member_id) filter ({c} is not null) as {c}" for c in ("relation", "birth_year", "place")) + ", arg_max(name_latin, member_id) filter (name_latin is not null and gender is not distinct from first_gender) as name_latin from (select *, first_value(gender) over (partition by person_id, name order by member_id) as first_gender from person_family_members where name is not null) group by person_id, name",

@@ -81,8 +81,10 @@ def haversine_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_markers_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with many career markers."""
-    return table(spark, d, "documents").select("doc_id", X.marker_hits("text").cast("int").alias("hits")).where("hits > 2")
+    """The check of each document against the jobs recorded of its person."""
+    jobs = table(spark, d, "person_career").where("person_id is not null").groupBy("person_id").agg(F.count(F.lit(1)).alias("jobs"))
+    docs = table(spark, d, "documents").select("doc_id", "person_id", X.marker_hits("text").cast("int").alias("hits"))
+    return docs.join(jobs, "person_id", "left").select("doc_id", "hits", X.validation_message(F.col("hits"), F.coalesce("jobs", F.lit(0)).cast("int")).alias("validation"))
 
 
 def classify_relatives(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +182,7 @@ SQL: dict[str, str] = {
     "year_range_validate": f"select case when start_year between {EVENT[0]} and {EVENT[1]} then start_year end as year, count(*) as n from person_career group by 1",
     "admin_levels_parse": f"select location_id, lev[1] as l1, lev[2] as l2, lev[3] as l3 from {_LV}",
     "haversine_distance": f"select distinct location_id, round({_HOP}, 6) as km from locations where latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)",
-    "keyword_markers_validation": "select doc_id, hits from (select doc_id, cast(" + " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)}" for m in X.CAREER_MARKERS) + " as int) as hits from documents) where hits > 2",
+    "keyword_markers_validation": "select doc_id, hits, case when hits > 5 and coalesce(jobs, 0) < 3 then 'Suspected skipping (' || hits || ' markers, ' || coalesce(jobs, 0) || ' jobs)' else 'Passed' end as validation from (select doc_id, person_id, cast(" + " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)}" for m in X.CAREER_MARKERS) + " as int) as hits from documents) left join (select person_id, count(*) as jobs from person_career where person_id is not null group by person_id) using (person_id)",
     "classify_relatives": "select member_id, case when regexp_matches(r, '父|兄|弟|祖父|婿|男$') then 'm' when regexp_matches(r, '母|妻|姉|妹|祖母|女$') then 'f' else 'x' end as gender_read, case when birth_year is not null and r <> '' and ((regexp_matches(r, '[父母]') and birth_year > 1865) or (regexp_matches(r, '[女男子]') and birth_year < 1895) or (contains(r, '妻') and abs(birth_year - 1880) > 15)) then null else birth_year end as plausible, (r in ("
     + ", ".join(f"'{x}'" for x in C.RELATION_EXACT) + r") or regexp_matches(r, '^.{1,10}[の之]?妻$') or regexp_matches(r, '^(昭和?|大正?|明治?)[一二三四五六七八九十〇\d]{1,4}年?$')) and r not in (" + ", ".join(f"'{x}'" for x in C.LEGITIMATE_JOBS) + ") as is_relation_word from (select *, coalesce(relation, '') as r from person_family_members)",
     "detect_domains": f"select bio_id, domain, case when length(name) > 1 then left(name, {_CUT}) end as family, case when length(name) > 1 then substr(name, {_CUT} + 1) end as given from (select bio_id, name, {_DOM} as domain from biographies_extracted)",
