@@ -72,10 +72,14 @@ def _string(s: str, i: int) -> tuple[str, int]:
             i += 1
 
 
-def _lenient(s: str, i: int) -> tuple[object, int]:
-    """The value at s[i], of any depth (no recursion), and the position after it."""
+def _lenient(s: str, i: int, stack: list[list] | None = None) -> tuple[object, int]:
+    """The value at s[i], of any depth (no recursion), and the position after it.
+
+    ``stack`` holds the containers that are open, as [container, pending key or _END]; given an empty list, the caller sees
+    how far it came.
+    """
     n = len(s)
-    stack: list[list] = []  # [container, pending key or _END]
+    stack = [] if stack is None else stack
     value: object = _END
     while True:
         while i < n and s[i] in _WS:
@@ -189,3 +193,45 @@ def parse_answer(text: str | None) -> object:
             return value
         text = value
     return NOTHING
+
+
+def completed_answer(text: str | None) -> object:
+    """The answer's value, and of one that breaks off what was whole in it: open arrays and objects are closed, a field without value and a text or number cut short are left out.
+
+    An option for extraction; problem 3's tables leave broken-off answers out.
+    """
+    value = parse_answer(text)
+    if value is not BROKEN:
+        return value
+    bare = _FENCE.sub("", _THINK.sub("", text or ""))
+    starts = [k for k in (bare.find("["), bare.find("{")) if k >= 0]
+    if not starts:
+        return NOTHING
+    open_: list[list] = []
+    try:
+        return _lenient(bare, min(starts), open_)[0]
+    except (_Broken, _Bad):
+        pass
+    for (box, key), (child, _) in reversed(list(zip(open_, open_[1:]))):
+        if isinstance(box, list):
+            box.append(child)
+        elif key is not _END:
+            box[key] = child
+    return open_[0][0] if open_ else NOTHING
+
+
+def last_object(text: str | None) -> dict | None:
+    """The last whole object that stands by itself in a text, as where a model corrects its own answer."""
+    bare, at, last = _FENCE.sub("", _THINK.sub("", text or "")), 0, None
+    while (at := bare.find("{", at)) >= 0:
+        try:
+            value, at = _lenient(bare, at)
+            last = value if isinstance(value, dict) else last
+        except (_Broken, _Bad):
+            at += 1
+    return last
+
+
+def only_keys(value: object, allowed: frozenset[str]) -> object:
+    """An object without the keys that are not ``allowed``; anything else as it is."""
+    return {k: v for k, v in value.items() if k in allowed} if isinstance(value, dict) else value

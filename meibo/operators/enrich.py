@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,6 +47,37 @@ def enrich(df: DataFrame, column: str, provider: Provider, name: str, cache: str
     return df.join(answers.select(F.col("key").alias(column), F.col("value").alias(name)), column, "left")
 
 
+_NUMBERED = re.compile(r"^\s*(\d+)\.\s*(.+?)\s*$", re.M)
+
+
+def numbered_answers(reply: str | None, n: int) -> list[str | None]:
+    """The n answers of a reply of numbered lines; numbers out of range are ignored, missing ones null, of repeated ones the last counts."""
+    out: list[str | None] = [None] * n
+    for m in _NUMBERED.finditer(reply or ""):
+        if 1 <= int(m.group(1)) <= n:
+            out[int(m.group(1)) - 1] = m.group(2)
+    return out
+
+
+def yes_no_provider(ask: Callable[[str], str]) -> Provider:
+    """A provider of verdicts: keys are asked as numbered lines in one prompt; what is not answered with YES or NO, or fails, is NO."""
+
+    def answer(keys: list[str]) -> list[str | None]:
+        try:
+            reply = ask("\n".join(f"{i}. {k}" for i, k in enumerate(keys, 1)))
+        except Exception:  # noqa: BLE001 - a failing call confirms nothing
+            reply = ""
+        return ["yes" if (a or "").upper().startswith("YES") else "no" for a in numbered_answers(reply, len(keys))]
+
+    return answer
+
+
+def verify_pairs(pairs: DataFrame, a: str, b: str, provider: Provider, cache: str | None = None, batch: int = 20) -> DataFrame:
+    """The pairs that the provider confirms, each distinct (a, b) asked once as "a | b"; with a cache a rerun asks only what is new."""
+    keyed = pairs.withColumn("_pair", F.concat_ws(" | ", a, b))
+    return enrich(keyed, "_pair", provider, "_verdict", cache, batch).where("_verdict = 'yes'").select(*pairs.columns)
+
+
 def _exists(spark, path: str) -> bool:  # noqa: ANN001
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -188,8 +188,8 @@ def fold_provenance(df: DataFrame, key: Sequence[str], order: Sequence[str], lis
     return df.groupBy(*key).agg(*[F.min_by(c, at).alias(c) for c in keep], *folded, F.count(F.lit(1)).alias("n_rows"))
 
 
-def drop_subsets(df: DataFrame, group: Sequence[str], details: Sequence[str], row_id: str) -> DataFrame:
-    """Rows whose known details are no strict subset of another row's in their group; equal rows all stay.
+def _detail_sets(df: DataFrame, group: Sequence[str], details: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with group ``_g`` and details ``_d``, pairs (_g, _d, _s) of a set and a strict superset in its group).
 
     Empty text and the word NULL count as unknown.  Within a group only distinct detail sets are compared, each
     row counted with its set, so repeated rows cost nothing.
@@ -200,9 +200,33 @@ def drop_subsets(df: DataFrame, group: Sequence[str], details: Sequence[str], ro
     # a strict subset of a non-empty set shares one of its own elements with the superset; the empty set is below any other
     big = sets.select("_g", F.col("_d").alias("_s"), F.explode("_d").alias("_t"))
     small = sets.where(F.size("_d") > 0).select("_g", "_d", F.element_at("_d", 1).alias("_t"))
-    below = small.join(big, ["_g", "_t"]).where((F.size("_s") > F.size("_d")) & (F.size(F.array_except("_d", "_s")) == 0)).select("_g", "_d").distinct()
-    empty = sets.where(F.size("_d") == 0).select("_g", "_d").join(sets.where(F.size("_d") > 0).select("_g").distinct(), "_g", "left_semi")
-    return rows.join(below.unionByName(empty), ["_g", "_d"], "left_anti").select(*df.columns)
+    below = small.join(big, ["_g", "_t"]).where((F.size("_s") > F.size("_d")) & (F.size(F.array_except("_d", "_s")) == 0)).select("_g", "_d", "_s")
+    empty = sets.where(F.size("_d") == 0).join(sets.where(F.size("_d") > 0).select("_g", F.col("_d").alias("_s")), "_g").select("_g", "_d", "_s")
+    return rows, below.unionByName(empty)
+
+
+def drop_subsets(df: DataFrame, group: Sequence[str], details: Sequence[str], row_id: str) -> DataFrame:
+    """Rows whose known details are no strict subset of another row's in their group; equal rows all stay."""
+    rows, below = _detail_sets(df, group, details)
+    return rows.join(below.select("_g", "_d").distinct(), ["_g", "_d"], "left_anti").select(*df.columns)
+
+
+def absorb_subsets(df: DataFrame, group: Sequence[str], details: Sequence[str], row_id: str, lists: Sequence[str]) -> DataFrame:
+    """As ``drop_subsets``, and a row that stays takes over the values of the list columns of those it absorbs.
+
+    A dropped row goes to the first row (by ``row_id``) whose details hold its own, and on from there if that is
+    dropped too.  Values are added behind the row's own, in the order of the absorbed rows, without repeats.
+    """
+    rows, below = _detail_sets(df, group, details)
+    rows = materialize(rows, "detail-rows")
+    first = rows.groupBy("_g", "_d").agg(F.min(row_id).alias("_at"))
+    above = below.join(first.withColumnRenamed("_d", "_s"), ["_g", "_s"]).groupBy("_g", "_d").agg(F.min("_at").alias("_to"))
+    goes = close_remap(rows.join(above, ["_g", "_d"]).select(F.col(row_id).alias("old_id"), F.col("_to").alias("new_id")))
+    values = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    taken = rows.join(goes, F.col(row_id) == F.col("old_id")).groupBy("new_id").agg(F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("o"), *[values(c).alias(c) for c in lists]))).alias("_all"))
+    kept = rows.join(goes.select(F.col("old_id").alias(row_id)), row_id, "left_anti").join(taken.withColumnRenamed("new_id", row_id), row_id, "left")
+    added = {c: F.array_distinct(F.concat(values(F.col(c)), F.coalesce(F.flatten(F.transform("_all", lambda x: x[c])), F.array().cast("array<string>")))) for c in lists}  # noqa: B023
+    return kept.withColumns(added).select(*df.columns)
 
 
 def variant_groups(df: DataFrame, name: str) -> DataFrame:

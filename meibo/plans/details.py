@@ -18,6 +18,7 @@ from meibo.operators import cleaning as L
 from meibo.operators import ordered as O
 from meibo.operators import places as P
 from meibo.operators import quality as Q
+from meibo.operators import resolve as R
 from meibo.operators import stats as S
 from meibo.plans.problems import key_sql
 from meibo.session import shared_dir
@@ -187,6 +188,13 @@ def append_twice(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_keys")).withColumns({"first": F.lit(first).cast("bigint"), "second": F.lit(second).cast("bigint")})
 
 
+def subset_absorption(spark: SparkSession, d: str) -> DataFrame:
+    """Career rows that add something to the others of their person and organisation, with the volumes of those they absorb."""
+    c = table(spark, d, "person_career").where("organization_id is not null").select("row_id", "person_id", "organization_id", "job_title", "start_year", "place_name", "source_volume")
+    out = R.absorb_subsets(c, ["person_id", "organization_id"], ["job_title", "start_year", "place_name"], "row_id", ["source_volume"])
+    return out.select("row_id", F.array_join(F.array_sort("source_volume"), "+").alias("volumes"))
+
+
 _R = "|".join([*C.RELATION_ENDINGS])
 _JOBS = ", ".join(f"'{x}'" for x in C.RELATION_EXACT)
 _FINE = ", ".join(f"'{x}'" for x in C.LEGITIMATE_JOBS)
@@ -197,7 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         exclusive_roles, early_events, suspicious_names, null_org_places, girls_school_rule, deictic_organisations, phantom_cascade, subject_genders, text_projections, era_prefixes, activity_years,
-        page_reading_order, path_sort_keys, year_density, restricted_jobs, relatives_per_person, types_per_point, whole_runs, surname_splits, contained_names, json_lines_round_trip, append_twice,
+        page_reading_order, path_sort_keys, year_density, restricted_jobs, relatives_per_person, types_per_point, whole_runs, surname_splits, contained_names, json_lines_round_trip, append_twice, subset_absorption,
     )
 }
 SQL: dict[str, str] = {
@@ -231,4 +239,9 @@ g as (select unnest(range(1800, 1951)) as year) select c.hisco_major, cast(g.yea
     "contained_names": "with h as (select distinct person_id, hobby from person_hobbies where hobby is not null and person_id is not null) select a.person_id, a.hobby, b.hobby as other from h a join h b on a.person_id = b.person_id and a.hobby < b.hobby where contains(a.hobby, b.hobby) or contains(b.hobby, a.hobby)",
     "json_lines_round_trip": "select segment_id, header_ocr, body_text, segment_x_range[1] as x from segmented_output",
     "append_twice": "select count(*) as n_rows, count(distinct row_id) as n_keys, count(*) filter (row_id % 3 <> 0) as first, count(*) filter (row_id % 3 = 0) as second from organizations",
+    "subset_absorption": """with recursive r as (select row_id, person_id, organization_id, source_volume, list_filter([case when job_title not in ('', 'NULL') then 'job_title=' || job_title end, case when start_year is not null then 'start_year=' || start_year end, case when place_name not in ('', 'NULL') then 'place_name=' || place_name end], lambda x: x is not null) as d from person_career where organization_id is not null),
+up as (select r.row_id, min(o.row_id) as above from r join r o on o.person_id is not distinct from r.person_id and o.organization_id = r.organization_id and len(o.d) > len(r.d) and list_has_all(o.d, r.d) group by r.row_id),
+w(row_id, top) as (select row_id, above from up union select w.row_id, up.above from w join up on up.row_id = w.top),
+ends as (select row_id, top from w where top not in (select row_id from up) union all select row_id, row_id from r where row_id not in (select row_id from up))
+select top as row_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(source_volume, []))))), '+') as volumes from ends join r using (row_id) group by top""",
 }

@@ -68,3 +68,37 @@ def test_labels_follow_the_survey(spark):
     assert one(X.strip_tones(L("ŌsakaǙÁé")))[0] == "OsakaÜAe"
     assert list(one(*[S.is_variant(L(a), L(b)).alias(f"v{k}") for k, (a, b) in enumerate((("太郎", "太朗"), ("太郎", "次郎"), ("太", "太郎"), ("一", "二")))])) == [True, False, True, False]
     assert C.in_regions(L("zh"), L("Jilin"), []) is not None and one(C.in_regions(L("zh"), L("Jilin"), ["mk", "ja"]), C.in_regions(L("zh"), L("Gansu"), ["mk"]))[0:2] == (True, False)
+
+
+def test_broken_answers_are_completed_on_request():
+    import json
+
+    from meibo.functions.jsonfix import NOTHING, completed_answer, last_object, only_keys
+
+    whole = {"name": "a", "career": [{"job": "x", "year": 1900}, {"job": "y"}], "n": [1, [2, 3]]}
+    text = json.dumps(whole)
+    for n in range(1, len(text) + 1):
+        got = completed_answer("Answer: " + text[:n])
+        assert isinstance(got, dict) and set(got) <= set(whole)
+    assert completed_answer(text[: text.index('"y"')]) == {"name": "a", "career": [{"job": "x", "year": 1900}, {}]} and completed_answer(text) == whole
+    assert completed_answer("none") is NOTHING and completed_answer("") is NOTHING and completed_answer(None) is NOTHING
+    assert last_object('{"a": 1} no, rather {"a": 2} {"b') == {"a": 2} and last_object("x") is None
+    assert only_keys({"a": 1, "b": 2}, frozenset("a")) == {"a": 1} and only_keys([1], frozenset()) == [1]
+
+
+def test_pairs_are_verified_in_batches(spark, tmp_path):
+    from meibo.operators.enrich import numbered_answers, verify_pairs, yes_no_provider
+
+    assert numbered_answers("1. YES\n3. no\n9. YES\nx", 3) == ["YES", None, "no"] and numbered_answers(None, 1) == [None]
+
+    def ask(prompt):
+        if "boom" in prompt:
+            raise RuntimeError
+        return "\n".join(line.split(".")[0] + (". YES" if "same" in line else ". NO") for line in prompt.split("\n") if "skip" not in line)
+
+    df = spark.createDataFrame([("a", "same", 1), ("a", "same", 2), ("b", "other", 3), ("skip", "same", 4), (None, "same", 5)], "x string, y string, i int")
+    got = verify_pairs(df, "x", "y", yes_no_provider(ask), str(tmp_path / "cache"))
+    assert sorted(r.i for r in got.collect()) == [1, 2, 5]
+    again = verify_pairs(df, "x", "y", yes_no_provider(lambda p: "1. NO"), str(tmp_path / "cache"))
+    assert sorted(r.i for r in again.collect()) == [1, 2, 5]
+    assert verify_pairs(spark.createDataFrame([("boom", "same", 1)], "x string, y string, i int"), "x", "y", yes_no_provider(ask)).count() == 0
