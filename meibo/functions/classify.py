@@ -216,9 +216,14 @@ def is_garbled_place(place: Column) -> Column:
     return p.isin(*DEICTIC_PLACES) | p.rlike("|".join(DATE_PLACES)) | short | p.rlike("(?:" + "|".join(SCHOOL_ENDINGS) + ")$")
 
 
+def is_university_name(name: Column) -> Column:
+    """True for a name that begins with a university's short name and is no place of that beginning."""
+    return name.rlike(f"^(?:{'|'.join(UNIVERSITIES)})(?![{NOT_UNIVERSITIES}])")
+
+
 def is_foreign_to_place(place: Column) -> Column:
     """True for a place that ends in a relation, in an organisation, or begins with a university's short name."""
-    uni = place.rlike(f"^(?:{'|'.join(UNIVERSITIES)})(?![{NOT_UNIVERSITIES}])")
+    uni = is_university_name(place)
     return place.rlike("(?:" + "|".join([*RELATION_ENDINGS, POSSESSED]) + ")$") | place.rlike("(?:" + "|".join(ORG_PLACE_ENDINGS) + ")$") | uni
 
 

@@ -195,6 +195,19 @@ def subset_absorption(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", F.array_join(F.array_sort("source_volume"), "+").alias("volumes"))
 
 
+def city_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Organisations without location with that of the place they are named after."""
+    o = table(spark, d, "organizations").select("row_id", "name", id_key("location_id").alias("location_id"))
+    cities = table(spark, d, "locations").where("name is not null").groupBy("name").agg(F.min(id_key("location_id")).alias("location_id"))
+    return L.assign_city(o, "name", "location_id", cities).select("row_id", "location_id")
+
+
+def repaired_labels(spark: SparkSession, d: str) -> DataFrame:
+    """English names of organisations with what translation gets wrong of old names set right."""
+    o = table(spark, d, "organizations").select("name", "name_en").distinct()
+    return o.select("name", "name_en", L.repaired_label(F.col("name"), F.col("name_en")).alias("label"))
+
+
 _R = "|".join([*C.RELATION_ENDINGS])
 _JOBS = ", ".join(f"'{x}'" for x in C.RELATION_EXACT)
 _FINE = ", ".join(f"'{x}'" for x in C.LEGITIMATE_JOBS)
@@ -205,7 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         exclusive_roles, early_events, suspicious_names, null_org_places, girls_school_rule, deictic_organisations, phantom_cascade, subject_genders, text_projections, era_prefixes, activity_years,
-        page_reading_order, path_sort_keys, year_density, restricted_jobs, relatives_per_person, types_per_point, whole_runs, surname_splits, contained_names, json_lines_round_trip, append_twice, subset_absorption,
+        page_reading_order, path_sort_keys, year_density, restricted_jobs, relatives_per_person, types_per_point, whole_runs, surname_splits, contained_names, json_lines_round_trip, append_twice, subset_absorption, city_assignment, repaired_labels,
     )
 }
 SQL: dict[str, str] = {
@@ -244,4 +257,12 @@ up as (select r.row_id, min(o.row_id) as above from r join r o on o.person_id is
 w(row_id, top) as (select row_id, above from up union select w.row_id, up.above from w join up on up.row_id = w.top),
 ends as (select row_id, top from w where top not in (select row_id from up) union all select row_id, row_id from r where row_id not in (select row_id from up))
 select top as row_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(source_volume, []))))), '+') as volumes from ends join r using (row_id) group by top""",
+    "city_assignment": f"""with c as (select name, min({key_sql('location_id')}) as loc from locations where name is not null group by name),
+o as (select row_id, name, {key_sql('location_id')} as loc from organizations),
+open as (select distinct name from o where loc is null and name is not null),
+p as (select open.name, arg_max(c.loc, length(c.name)) as loc, arg_max(c.name, length(c.name)) as city from open join c on case when open.name like '%支店' and not contains(open.name, '各') then ends_with(left(open.name, length(open.name) - 2), c.name) else starts_with(open.name, c.name) and length(open.name) > length(c.name) and not regexp_matches(open.name, '各|卒$|同店|同社|同校|同省|同局|同廳') end where length(c.name) >= 2 group by open.name),
+q as (select * from p where (name like '%支店' and not contains(name, '各')) or not regexp_matches(substr(name, length(city) + 1), '長男|長女|次男|次女|三男|養子|妻|後裔'))
+select row_id, coalesce(o.loc, q.loc) as location_id from o left join q using (name)""",
+    "repaired_labels": r"""select distinct name, name_en, case when name = '高女' then 'Girls'' High School' when contains(name, '高女') and contains(name_en, 'Takano') then null
+  when name like '本縣%' then regexp_replace(name_en, '(?i)^(?:Honken|Hon-ken|Honshu|Honten|Honma|Honjo|Hon )\s*', 'Prefectural ', 'g') when name like '本府%' then regexp_replace(name_en, '(?i)^(?:Honfu|Hon-fu|Honfuro|Honjo|Honmachi|Honmura|Honno|Honshu|Hon )\s*', 'Prefectural ', 'g') else name_en end as label from organizations""".replace("\\\\", "\\"),
 }

@@ -37,3 +37,28 @@ def test_density(spark):
     g = spark.range(-3, 5).select(F.col("id").cast("int").alias("at"))
     got = {r.at: r.density for r in L.density(p, "k", "v", g, "at").collect()}
     assert got[0] == pytest.approx((1 + 2.718281828 ** -0.5) / (2 * 2.5066282746), rel=1e-6) and sum(got.values()) == pytest.approx(1, abs=0.01)
+
+
+def test_historical_places(spark):
+    rows = [
+        ("興安南省王爺廟", 1, 35.0, 135.0, "Kyoto", "ja"), ("興安南省", 2, 35.0, 135.0, "Jilin", "zh"), ("青島市", 3, 34.0, 131.0, None, None), ("蒙古聯合", 4, 1.0, 1.0, "Kyoto", "ja"), ("蒙古路", 5, 1.0, 1.0, "Kyoto", "ja"),
+        ("安東", 6, 1.0, 1.0, "Kyoto", "ja"), ("東安東", 7, 1.0, 1.0, "Kyoto", "ja"), ("安東省城", 8, 1.0, 1.0, "Kyoto", "ja"), ("厚和", None, 1.0, 1.0, "Kyoto", "ja"), (None, 9, 1.0, 1.0, "Kyoto", "ja"), ("東大法科", 10, 1.0, 1.0, "Tokyo", "ja"), ("東大阪", 11, 1.0, 1.0, "Osaka", "ja"),
+    ]
+    df = spark.createDataFrame(rows, "name string, geonameid long, latitude double, longitude double, province string, country string")
+    got = {r.name: (r.geonameid, r.latitude, r.province) for r in L.historical_locations(df).collect()}
+    assert got["興安南省王爺廟"] == (None, 46.07, "Inner Mongolia") and got["興安南省"] == (2, 35.0, "Jilin") and got["青島市"] == (3, 34.0, None)
+    assert got["蒙古聯合"] == (None, None, None) and got["蒙古路"][0] == 5 and got["安東"] == (None, None, None) and got["東安東"][0] == 7
+    assert got["安東省城"] == (None, 40.12, "Liaoning") and got["厚和"] == (None, 1.0, "Kyoto") and got[None][0] == 9
+    uni = {r.name: r.latitude for r in L.university_locations(df).collect()}
+    assert uni["東大法科"] is None and uni["東大阪"] == 1.0 and uni[None] == 1.0
+
+
+def test_branches_and_labels(spark):
+    cities = spark.createDataFrame([("大阪", "L1"), ("京都", "L2"), ("東京", "L3")], "name string, location_id string")
+    names = ["三井銀行大阪支店", "大阪", "大阪各支店", "大阪高商卒", "大阪同社", "東京長男", "京都帝大", None]
+    orgs = spark.createDataFrame([(n, None) for n in names], "name string, loc string")
+    assert {r.name: r.loc for r in L.assign_city(orgs, "name", "loc", cities).collect()} == dict(zip(names, ["L1", None, None, None, None, None, "L2", None]))
+    assert L.assign_city(orgs.limit(0), "name", "loc", cities).count() == 0
+    one = lambda o, x: spark.range(1).select(L.repaired_label(F.lit(o), F.lit(x)).alias("y")).first().y
+    assert one("本縣農會", "Honken Agricultural Society") == "Prefectural Agricultural Society" and one("高女", None) == "Girls' High School" and one("神戸高女", "Takano Kobe") is None
+    assert one("新京銀行", "Changchun Bank") == "Hsinking Bank" and one("新京極", "Shinkyo") == "Shinkyo" and one(None, "x") == "x" and one("銀行", None) is None
