@@ -48,7 +48,7 @@ def corpus(n: int = 150) -> list[tuple[str, str | None, str | None]]:
     """Ids of several spellings: every place with every kind, as full, and some abbreviated or misread."""
     rows = [(f"O{i}", p + k, None) for i, (p, k) in enumerate((p, k) for p in PLACES for k in KINDS)]
     rows += [(f"O{1000 + i}", "株式會社" + p + k, None) for i, (p, k) in enumerate((p, k) for p in PLACES for k in KINDS)]
-    odd = ["山田洋服", "三菱造舩", "大坂銀行", "中島税", "白浜高女", "人形座・富岡", "石垣水産（株）", "(元)長野鉄道", "福井税務署支店", "福井税務署(株)支店", "山田呉服", "", "  ", None, "x" * 3000]
+    odd = ["銀" * 4000, "行" * 4000, "山田洋服", "三菱造舩", "大坂銀行", "中島税", "白浜高女", "人形座・富岡", "石垣水産（株）", "(元)長野鉄道", "福井税務署支店", "福井税務署(株)支店", "山田呉服", "", "  ", None, "x" * 3000]
     return rows + [(f"O{2000 + i}", name, None) for i, name in enumerate(odd)]
 
 
