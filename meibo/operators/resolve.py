@@ -94,16 +94,18 @@ def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90,
     names = df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("id")).distinct()
     chars = F.filter(F.split("id", ""), lambda c: c != "")
     numbered = F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: d == c)).cast("string")))
-    sets = names.withColumn("tokens", numbered)
+    # the join carries numbers; they are written with the names, so every reading sees the same ones
+    sets = materialize(names.withColumns({"tokens": numbered, "nid": F.monotonically_increasing_id()}), "numbered-names")
     begun = None
     for p in range(5):
         need = 3 * (threshold - p / 10) / (1 - p / 10) - 1
-        part = sets.where(F.length("id") >= p).select("id", "tokens", F.concat(F.lit(f"{p}|"), F.substring("id", 1, p)).alias("lead"), F.lit(max(need - 1 - 1e-9, 0.05)).alias("need"))
+        part = sets.where(F.length("id") >= p).select((F.col("nid") * 8 + p).alias("key"), "tokens", F.concat(F.lit(f"{p}|"), F.substring("id", 1, p)).alias("lead"), F.lit(max(need - 1 - 1e-9, 0.05)).alias("need"))
         begun = part if begun is None else begun.unionByName(part)
     # names of one beginning meet under the need of its length, all lengths in one join
-    met = similar_sets(begun.withColumn("key", F.struct("lead", "id")), None, "need", "key", mark="lead").select(F.col("id_l.id").alias("id_l"), F.col("id_r.id").alias("id_r"))
+    near = similar_sets(begun, None, "need", "key", mark="lead").select(F.shiftright("id_l", 3).alias("x"), F.shiftright("id_r", 3).alias("y")).distinct()
+    met = near.join(sets.select(F.col("nid").alias("x"), F.col("id").alias("a")), "x").join(sets.select(F.col("nid").alias("y"), F.col("id").alias("b")), "y").select(F.least("a", "b").alias("id_l"), F.greatest("a", "b").alias("id_r"))
     a, b = F.least(F.length("id_l"), F.length("id_r")), F.greatest(F.length("id_l"), F.length("id_r"))
-    met = met.distinct().where(jaro_winkler_bound(a, b) >= threshold - 1e-9)
+    met = met.where(jaro_winkler_bound(a, b) >= threshold - 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
