@@ -9,6 +9,7 @@ any executor.
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -57,11 +58,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: written tables after which the driver's garbage is collected
+CLEAN_EVERY = 6
+_WRITTEN = itertools.count(1)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder once and return the written table (same schema)."""
+    """Write ``df`` to the shared folder once and return the written table (same schema).
+
+    Spark drops the shuffle files and broadcasts of a finished step only once the driver has collected the plans that
+    refer to them, which a driver with room to spare may never do: after every few tables it is asked to.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meibo/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_WRITTEN) % CLEAN_EVERY == 0:
+        spark.sparkContext._jvm.System.gc()
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._meibo_path = path  # type: ignore[attr-defined]
