@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +46,65 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1, boost_above: float = 0.0,
     return j + p * weight * (1 - j)
 
 
+#: characters of a name that one machine word has a bit for
+WORD = 64
+#: entries of a table of character positions
+POSITIONS = 4_000_000
+
+
+def jaro_winkler_many(codes: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = 0.0, weight: float = 0.1, boost_above: float = 0.0, floor: bool = False) -> np.ndarray:
+    """``jaro_winkler`` of the names ``a[i]`` and ``b[i]`` for all i at once, bit by bit the same; 0 for some that are below ``threshold``.
+
+    ``codes`` has a row of ``WORD`` numbers from 1 on (0 behind the name's end) for each name, small ones for few
+    characters.  The names of a pair differ and have 1 to ``WORD`` characters.
+    """
+    out = np.zeros(len(a))
+    rows, of = np.unique(b, return_inverse=True)
+    n_chars = int(codes.max(initial=0)) + 1
+    if len(rows) > 1 and len(rows) * n_chars > POSITIONS:
+        low = of < len(rows) // 2
+        for part in (low, ~low):
+            out[part] = jaro_winkler_many(codes, length, a[part], b[part], threshold, weight, boost_above, floor)
+        return out
+    one, none = np.uint64(1), np.uint64(0)
+    # the places of each character in each b, as bits
+    at = np.zeros((len(rows), n_chars), np.uint64)
+    for i in range(WORD):
+        at[np.arange(len(rows)), codes[rows, i]] |= one << np.uint64(i)
+    at[:, 0] = 0
+    flat, base = at.ravel(), of * n_chars
+    la, lb = length[a], length[b]
+    most = int(la.max(initial=0))
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    window = (one << (reach + 1).astype(np.uint64)) - one
+    begin = codes[a, :4], codes[b, :4]
+    chars = np.ascontiguousarray(codes[a, :most].T)
+    taken, left = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+    for i in range(most):
+        free = flat[base + chars[i]] & window & ~taken
+        taken |= free & (~free + one)
+        left |= (free != none).astype(np.uint64) << np.uint64(i)
+        window = (window << one) | (reach > i)
+    m = np.bitwise_count(taken).astype(np.int64)
+    p, same = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for i in range(4):
+        same &= (begin[0][:, i] == begin[1][:, i]) & (begin[0][:, i] > 0)
+        p += same
+    best = (m / la + m / lb + 1) / 3
+    go = np.flatnonzero((m > 0) & (best + p * weight * (1 - best) >= threshold - 1e-9))
+    m, la, lb, p, base, left, rest, chars = m[go], la[go], lb[go], p[go], base[go], left[go], taken[go], chars[:, go]
+    moved = np.zeros(len(go), np.int64)
+    for i in range(most):
+        here = (left >> np.uint64(i)) & one
+        first = rest & (~rest + one) * here
+        moved += (first != none) & (flat[base + chars[i]] & first == none)
+        rest = rest ^ first
+    half = moved // 2 if floor else moved / 2
+    j = (m / la + m / lb + (m - half) / m) / 3
+    out[go] = np.where(j <= boost_above, j, j + p * weight * (1 - j))
+    return out
+
+
 def least_jaro(threshold: float, weight: float = 0.1) -> float:
     """The smallest Jaro similarity that four equal first characters can raise to ``threshold``."""
     return (threshold - 4 * weight) / (1 - 4 * weight)

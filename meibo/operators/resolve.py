@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meibo.functions.keys import skew_lookup
-from meibo.functions.similarity import jaro_winkler, jaro_winkler_bound
+from meibo.functions.similarity import WORD, jaro_winkler, jaro_winkler_many
 from meibo.functions.text import fold_col
 from meibo.operators.network import components
-from meibo.operators.setsim import similar_sets
 from meibo.session import materialize, release
 
 
@@ -83,36 +85,132 @@ def greedy_clusters(df: DataFrame, key: str, id_col: str, order: str, year: str,
     return df.join(several, key, "left_semi").groupBy(key).applyInPandas(run, f"{key} string, {id_col} {kind}, canonical_id {kind}")
 
 
+#: names that are compared with as many others in one task, and of which blocks are compared at once
+TILE, ROWS, COLUMNS = 16_000, 512, 2_048
+#: pairs that are scored at once
+BATCH = 16_000
+#: columns of a name's numbered characters: one for each of the commonest, the rest share
+OWN, SHARED = 96, 32
+
+
+def _bags(names: list[str], codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Numbered characters (the second a of a name is not its first) by column; the product of two rows is what two names share at least."""
+    ordered = np.sort(codes, axis=1)
+    place = np.broadcast_to(np.arange(WORD), ordered.shape)
+    begins = np.ones(ordered.shape, bool)
+    begins[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    token = ordered.astype(np.int64) * WORD + place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+    row, k = np.nonzero((ordered > 0) & (length <= WORD)[:, None])
+    token = token[row, k]
+    # a long name's characters are numbered one by one, under the same numbers
+    small = {c: k for name, line in zip(names, codes) for c, k in zip(name, line.tolist())} if (length > WORD).any() else {}
+    more, of = [], []
+    for i in np.flatnonzero(length > WORD):
+        seen: dict[str, int] = {}
+        for c in names[i]:
+            seen[c] = seen.get(c, -1) + 1
+            more.append(small.get(c, 0) * WORD + seen[c] if c in small and seen[c] < WORD else -1)
+            of.append(i)
+    row, token = np.concatenate([row, np.array(of, np.int64)]), np.concatenate([token, np.array(more, np.int64)])
+    kinds, kind, n = np.unique(token, return_inverse=True, return_counts=True)
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(kinds))
+    column = np.where(rank < OWN, rank, OWN + rank % SHARED)[kind]
+    return np.bincount(row * (OWN + SHARED) + column, minlength=len(names) * (OWN + SHARED)).reshape(len(names), -1).astype(np.float32)
+
+
+def alike_in_tile(left: list[str], right: list[str] | None, threshold: float, floor: bool = False, boost_above: float = 0.0) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, a, b, similarity), again and again: pairs of a left and a right name, or of two left ones, as places in ``names``; the smaller name is a."""
+    names = sorted(left if right is None else left + right)
+    length = np.array([len(x) for x in names], np.int64)
+    points = np.array([x[:WORD] for x in names], f"U{WORD}").view(np.uint32).reshape(-1, WORD).astype(np.int64) + 1
+    points[np.arange(WORD) >= length[:, None]] = 0
+    known, codes = np.unique(np.append(points.ravel(), 0), return_inverse=True)
+    codes = codes[:-1].reshape(points.shape).astype(np.int32)
+    bags, per = _bags(names, codes, length), (1 / np.maximum(length, 1)).astype(np.float32)
+    need = np.array([3 * (threshold - p / 10) / (1 - p / 10) - 1 for p in range(5)], np.float32) - np.float32(1e-4)
+    if right is None:
+        one = other = np.arange(len(names))
+    else:
+        of = set(left)
+        own = np.array([x in of for x in names], bool)
+        one, other = np.flatnonzero(own), np.flatnonzero(~own)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def scored() -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        short = np.maximum(length[a], length[b]) <= WORD
+        score = np.zeros(len(a))
+        score[short] = jaro_winkler_many(codes, length, a[short], b[short], threshold, boost_above=boost_above, floor=floor)
+        for k in np.flatnonzero(~short):
+            score[k] = jaro_winkler(names[a[k]], names[b[k]], floor=floor, boost_above=boost_above)
+        keep = score >= threshold
+        return names, a[keep], b[keep], score[keep]
+
+    for i in range(0, len(one), ROWS):
+        x = one[i : i + ROWS]
+        for j in range(i if right is None else 0, len(other), COLUMNS):
+            y = other[j : j + COLUMNS]
+            share = bags[x] @ bags[y].T
+            share *= per[x][:, None] + per[y][None, :]
+            if points[x[0], 0] > points[y[-1], 0] or points[x[-1], 0] < points[y[0], 0]:
+                near = share >= need[0]
+            else:
+                p, same = np.zeros(share.shape, np.int8), np.ones(share.shape, bool)
+                for k in range(4):
+                    same &= (points[x, k][:, None] == points[y, k][None, :]) & (points[x, k] > 0)[:, None]
+                    p += same
+                near = share >= need[p]
+            u, v = np.divmod(np.flatnonzero(near), len(y))
+            u, v = x[u], y[v]
+            if right is None:
+                u, v = u[u < v], v[u < v]
+            waiting.append((u, v))
+            if sum(len(u) for u, _ in waiting) > BATCH:
+                yield scored()
+    if waiting:
+        yield scored()
+
+
 def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90, floor: bool = False, boost_above: float = 0.0) -> DataFrame:
     """(name_a, name_b, similarity): different names of Jaro-Winkler similarity of at least ``threshold``, each pair once.
 
     A common beginning of p characters (four at most) lets a Jaro similarity of (t - p/10) / (1 - p/10) suffice, and
-    that needs common characters m with m/|a| + m/|b| >= 3 j - 1.  As sets of numbered characters this is a Jaccard
-    similarity of 3 j - 2 at least (all of the shorter name in the longer), so for each p a prefix-filtered join among names that begin alike finds all pairs without
-    comparing every two names.
+    that needs common characters m with m/|a| + m/|b| >= 3 j - 1.  Romanised names are made of so few letters that
+    an index of them leaves nearly every two names to compare, so candidates are never written: the names are dealt to
+    parts, a task holds two of them, bounds m for a block of pairs by one matrix product and scores what is left
+    at once.  Each name is shuffled once for each part: the disk holds the names that many times.
     """
-    names = df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("id")).distinct()
-    chars = F.filter(F.split("id", ""), lambda c: c != "")
-    numbered = F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: d == c)).cast("string")))
-    # the join carries numbers; they are written with the names, so every reading sees the same ones
-    sets = materialize(names.withColumns({"tokens": numbered, "nid": F.monotonically_increasing_id()}), "numbered-names")
-    begun = None
-    for p in range(5):
-        need = 3 * (threshold - p / 10) / (1 - p / 10) - 1
-        part = sets.where(F.length("id") >= p).select((F.col("nid") * 8 + p).alias("key"), "tokens", F.concat(F.lit(f"{p}|"), F.substring("id", 1, p)).alias("lead"), F.lit(max(need - 1 - 1e-9, 0.05)).alias("need"))
-        begun = part if begun is None else begun.unionByName(part)
-    # names of one beginning meet under the need of its length, all lengths in one join
-    near = similar_sets(begun, None, "need", "key", mark="lead").select(F.shiftright("id_l", 3).alias("x"), F.shiftright("id_r", 3).alias("y")).distinct()
-    met = near.join(sets.select(F.col("nid").alias("x"), F.col("id").alias("a")), "x").join(sets.select(F.col("nid").alias("y"), F.col("id").alias("b")), "y").select(F.least("a", "b").alias("id_l"), F.greatest("a", "b").alias("id_r"))
-    a, b = F.least(F.length("id_l"), F.length("id_r")), F.greatest(F.length("id_l"), F.length("id_r"))
-    met = met.where(jaro_winkler_bound(a, b) >= threshold - 1e-9)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.assign(similarity=[jaro_winkler(x, y, floor=floor, boost_above=boost_above) for x, y in zip(pdf["id_l"], pdf["id_r"])])
-            yield pdf.loc[pdf["similarity"] >= threshold, ["id_l", "id_r", "similarity"]]
-
-    return met.mapInPandas(score, "id_l string, id_r string, similarity double").select(F.col("id_l").alias("name_a"), F.col("id_r").alias("name_b"), F.bround("similarity", 3).alias("similarity"))
+    names = materialize(df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("id")).distinct(), "names")
+    n = names.count()
+    parts = max(math.ceil(n / TILE), min(8, math.ceil(n / 1_000)), 1)
+    dealt = names.select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("own")).select("id", "own", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    dealt = dealt.select((F.least("own", "other") * parts + F.greatest("own", "other")).cast("int").alias("tile"), (F.col("own") <= F.col("other")).alias("first"), "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(tile: int, left: list[str], right: list[str]) -> Iterator[pa.RecordBatch]:
+            text, of = None, None
+            for names, a, b, score in alike_in_tile(left, None if tile // parts == tile % parts else right, threshold, floor, boost_above):
+                if of is not names:
+                    text, of = pa.array(names, pa.string()), names
+                yield pa.RecordBatch.from_arrays([text.take(pa.array(a)), text.take(pa.array(b)), pa.array(score)], names=["id_l", "id_r", "similarity"])
+
+        at, sides = None, ([], [])
+        for batch in batches:
+            for tile, first, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != at:
+                    if at is not None:
+                        yield from pairs(at, *sides)
+                    at, sides = tile, ([], [])
+                sides[not first].append(x)
+        if at is not None:
+            yield from pairs(at, *sides)
+
+    tiles = dealt.repartition(parts * (parts + 1) // 2, "tile").sortWithinPartitions("tile")
+    met = tiles.mapInArrow(compare, "id_l string, id_r string, similarity double")
+    return met.select(F.col("id_l").alias("name_a"), F.col("id_r").alias("name_b"), F.bround("similarity", 3).alias("similarity"))
 
 
 def remap(df: DataFrame, column: str, mapping: DataFrame, old: str = "old_id", new: str = "new_id") -> DataFrame:

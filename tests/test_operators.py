@@ -46,6 +46,33 @@ def test_fuzzy_pairs_against_brute_force(spark):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(n for n in names if n), 2) if jaro_winkler(a, b) >= 0.9}
 
 
+def _shuffled(spark):
+    """Bytes that tasks have written for shuffles so far."""
+    each = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_fuzzy_pairs_writes_names_and_no_candidates(spark):
+    rnd = random.Random(7)
+    names = sorted({f"{rnd.choice(['Central', 'Second'])} {''.join(rnd.choice('aiueoknst') for _ in range(9))} {rnd.choice(['Railway', 'Rubber'])} Co., Ltd." for _ in range(700)} | {"Second " + "x" * 70, "Second " + "x" * 69 + "y"})
+    df = spark.createDataFrame([("i", n) for n in names], "i string, n string").coalesce(1)
+    before = _shuffled(spark)
+    got = {(r.name_a, r.name_b) for r in R.fuzzy_pairs(df, "i", "n", floor=True, boost_above=0.7).collect()}
+    assert _shuffled(spark) - before < 8 * sum(map(len, names))
+    assert got == {(a, b) for a, b in itertools.combinations(names, 2) if jaro_winkler(a, b, floor=True, boost_above=0.7) >= 0.9}
+
+
+def test_name_tiles_against_brute_force():
+    rnd = random.Random(8)
+    for chars, least, most in (("ab", 1, 12), ("梓柄寺鉄道𠮷\0", 1, 9), ("abc", 55, 90)):
+        names = list({"".join(rnd.choice(chars) for _ in range(rnd.randint(least, most))) for _ in range(150)})
+        for floor, above in ((True, 0.7), (False, 0.0)):
+            for left, right in ((names, None), (names[:40], names[40:])):
+                got = {(n[i], n[j]): s for n, a, b, score in R.alike_in_tile(left, right, 0.9, floor, above) for i, j, s in zip(a, b, score)}
+                pairs = itertools.combinations(sorted(left), 2) if right is None else ((min(x, y), max(x, y)) for x in left for y in right)
+                assert got == {(a, b): s for a, b in pairs if (s := jaro_winkler(a, b, floor=floor, boost_above=above)) >= 0.9}
+
+
 def test_similar_sets_against_brute_force(spark):
     rnd = random.Random(4)
     sets = {f"s{i}": sorted({f"t{rnd.randint(0, 12)}" for _ in range(rnd.randint(0, 8))}) for i in range(80)}
