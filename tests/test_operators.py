@@ -14,6 +14,7 @@ from meibo.operators import resolve as R
 from meibo.operators import stats as S
 from meibo.operators.enrich import enrich, rule_provider
 from meibo.operators.setsim import similar_sets
+from meibo.plans import rules
 from meibo.sources import readers, sinks
 
 
@@ -62,6 +63,17 @@ def test_fuzzy_pairs_writes_names_and_no_candidates(spark):
     assert got == {(a, b) for a, b in itertools.combinations(names, 2) if jaro_winkler(a, b, floor=True, boost_above=0.7) >= 0.9}
 
 
+def test_reference_name_pairs_writes_names_and_no_candidates(spark, tmp_path):
+    rnd = random.Random(9)
+    names = sorted({f"{rnd.choice(['Northern', 'Great'])} {''.join(rnd.choice('aiueoknst') for _ in range(9))} Bank Co., Ltd." for _ in range(500)})
+    names += sorted(n[:-6] + n[-5:] for n in names[:40])
+    spark.createDataFrame([(str(i), n) for i, n in enumerate(names)] + [("x", None), ("y", "")], "organization_id string, name_en string").coalesce(1).write.parquet(str(tmp_path / "organizations.parquet"))
+    before = _shuffled(spark)
+    got = {tuple(r) for r in rules.reference_name_pairs(spark, str(tmp_path)).collect()}
+    assert _shuffled(spark) - before < 8 * sum(map(len, names))
+    assert len(got) >= 40 and got == {(a, b) for a, b in itertools.combinations(sorted(set(names)), 2) if jaro_winkler(a, b) >= 0.95}
+
+
 def test_name_tiles_against_brute_force():
     rnd = random.Random(8)
     for chars, least, most in (("ab", 1, 12), ("梓柄寺鉄道𠮷\0", 1, 9), ("abc", 55, 90)):
