@@ -109,6 +109,16 @@ def test_weighted_similar_sets_against_brute_force(spark):
     assert similar_sets(df.limit(0), df, 0.5, mark="m", weighted=True).count() == 0
 
 
+def test_similar_sets_shuffles_sets_and_no_pairs(spark):
+    n = 700
+    df = spark.createDataFrame([(f"s{i:03}", ["all", f"a{i}", f"b{i}", f"c{i}"], i % 7) for i in range(n)], "id string, tokens array<string>, k int").coalesce(1)
+    before = _shuffled(spark)
+    pairs = similar_sets(df, None, 0.14, keep=["k"])
+    got = pairs.agg(F.count(F.lit(1)), F.min("jaccard"), F.sum((F.substring("id_r", 2, 3).cast("int") % 7 != F.col("k_r")).cast("int"))).first()
+    assert _shuffled(spark) - before < 200 * 4 * n
+    assert got[0] == n * (n - 1) // 2 and got[1] == pytest.approx(1 / 7) and got[2] == 0
+
+
 def test_closure_and_depth(spark):
     m = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("p", "q"), ("q", "p"), ("z", "z"), (None, "a")], "old_id string, new_id string")
     got = dict((r.old_id, r.new_id) for r in R.close_remap(m).collect())
