@@ -181,34 +181,28 @@ def fuzzy_pairs(df: DataFrame, id_col: str, name: str, threshold: float = 0.90,
     that needs common characters m with m/|a| + m/|b| >= 3 j - 1.  Romanised names are made of so few letters that
     an index of them leaves nearly every two names to compare, so candidates are never written: the names are dealt to
     parts, a task holds two of them, bounds m for a block of pairs by one matrix product and scores what is left
-    at once.  Each name is shuffled once for each part: the disk holds the names that many times.
+    at once.  A part is one row, and the tasks read the parts they hold from the one shuffle that dealt the names,
+    so the disk grows as the names, however many parts there are.
     """
     names = materialize(df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.col(name).alias("id")).distinct(), "names")
     n = names.count()
     parts = max(math.ceil(n / TILE), min(8, math.ceil(n / 1_000)), 1)
-    dealt = names.select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("own")).select("id", "own", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
-    dealt = dealt.select((F.least("own", "other") * parts + F.greatest("own", "other")).cast("int").alias("tile"), (F.col("own") <= F.col("other")).alias("first"), "id")
+    dealt = names.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id").repartitionById(parts, "part")
+    held = dealt.groupBy("part").agg(F.collect_list("id").alias("names"))
+    left, right = held.select(F.col("part").alias("l"), F.col("names").alias("left")), held.select(F.col("part").alias("r"), F.col("names").alias("right"))
+    # the hint makes each two partitions a task, without another shuffle or a broadcast
+    tiles = left.hint("shuffle_replicate_nl").join(right, F.col("l") <= F.col("r"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(tile: int, left: list[str], right: list[str]) -> Iterator[pa.RecordBatch]:
-            text, of = None, None
-            for names, a, b, score in alike_in_tile(left, None if tile // parts == tile % parts else right, threshold, floor, boost_above):
-                if of is not names:
-                    text, of = pa.array(names, pa.string()), names
-                yield pa.RecordBatch.from_arrays([text.take(pa.array(a)), text.take(pa.array(b)), pa.array(score)], names=["id_l", "id_r", "similarity"])
-
-        at, sides = None, ([], [])
         for batch in batches:
-            for tile, first, x in zip(*(c.to_pylist() for c in batch.columns)):
-                if tile != at:
-                    if at is not None:
-                        yield from pairs(at, *sides)
-                    at, sides = tile, ([], [])
-                sides[not first].append(x)
-        if at is not None:
-            yield from pairs(at, *sides)
-
-    tiles = dealt.repartition(parts * (parts + 1) // 2, "tile").sortWithinPartitions("tile")
+            for i in range(batch.num_rows):
+                l, r, x, y = (batch.column(c)[i].as_py() for c in ("l", "r", "left", "right"))
+                text, of = None, None
+                for named, a, b, score in alike_in_tile(x, None if l == r else y, threshold, floor, boost_above):
+                    if of is not named:
+                        text, of = pa.array(named, pa.string()), named
+                    yield pa.RecordBatch.from_arrays([text.take(pa.array(a)), text.take(pa.array(b)), pa.array(score)], names=["id_l", "id_r", "similarity"])
+
     met = tiles.mapInArrow(compare, "id_l string, id_r string, similarity double")
     return met.select(F.col("id_l").alias("name_a"), F.col("id_r").alias("name_b"), F.bround("similarity", 3).alias("similarity"))
 

@@ -74,6 +74,21 @@ def test_reference_name_pairs_writes_names_and_no_candidates(spark, tmp_path):
     assert len(got) >= 40 and got == {(a, b) for a, b in itertools.combinations(sorted(set(names)), 2) if jaro_winkler(a, b) >= 0.95}
 
 
+def test_reference_name_pairs_writes_each_name_once_for_all_parts(spark, tmp_path, monkeypatch):
+    rnd = random.Random(10)
+    names = sorted({f"{rnd.choice(['Northern', 'Great'])} {''.join(rnd.choice('aiueoknst') for _ in range(9))} Bank Co., Ltd." for _ in range(600)})
+    names += sorted(n[:-6] + n[-5:] for n in names[:40])
+    spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "organization_id string, name_en string").coalesce(1).write.parquet(str(tmp_path / "organizations.parquet"))
+    wrote = {}
+    for tile in (R.TILE, 40):
+        monkeypatch.setattr(R, "TILE", tile)
+        before = _shuffled(spark)
+        got = [tuple(r) for r in rules.reference_name_pairs(spark, str(tmp_path)).collect()]
+        wrote[tile] = _shuffled(spark) - before
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in itertools.combinations(sorted(set(names)), 2) if jaro_winkler(a, b) >= 0.95}
+    assert wrote[40] < 2 * wrote[16_000]
+
+
 def test_name_tiles_against_brute_force():
     rnd = random.Random(8)
     for chars, least, most in (("ab", 1, 12), ("梓柄寺鉄道𠮷\0", 1, 9), ("abc", 55, 90)):
